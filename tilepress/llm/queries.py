@@ -5,12 +5,14 @@ from __future__ import annotations
 from tilepress.llm.bpe import op3_bpe
 from tilepress.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tilepress.llm.mixing import op1_mix_sources
+from tilepress.llm.near_dedup import op8_near_dedup
 from tilepress.llm.secrets import op7_secrets
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_bpe": op3_bpe,
     "op7_secrets": op7_secrets,
+    "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 #: For the others see their tests: brute force, exact round trips or held-out accuracy.
