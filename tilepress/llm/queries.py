@@ -6,11 +6,15 @@ from tilepress.llm.bpe import op3_bpe
 from tilepress.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from tilepress.llm.mixing import op1_mix_sources
 from tilepress.llm.near_dedup import op8_near_dedup
+from tilepress.llm.quality import op5_quality
 from tilepress.llm.secrets import op7_secrets
+from tilepress.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op3_bpe": op3_bpe,
+    "op4_toxicity": op4_toxicity,
+    "op5_quality": op5_quality,
     "op7_secrets": op7_secrets,
     "op8_near_dedup": op8_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
