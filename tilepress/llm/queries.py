@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tilepress.llm.bpe import op3_bpe
 from tilepress.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from tilepress.llm.fingerprints import op2_imatch
 from tilepress.llm.mixing import op1_mix_sources
 from tilepress.llm.near_dedup import op8_near_dedup
 from tilepress.llm.quality import op5_quality
@@ -12,6 +13,7 @@ from tilepress.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_imatch": op2_imatch,
     "op3_bpe": op3_bpe,
     "op4_toxicity": op4_toxicity,
     "op5_quality": op5_quality,
