@@ -36,6 +36,7 @@ def stream_ledger(spark: SparkSession, staged: str, schema, state_dir: str, max_
         "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
         "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
         "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition preallocates files
         "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"),
     }.items():
         session.conf.set(key, value)
