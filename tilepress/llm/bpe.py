@@ -5,7 +5,7 @@ has been met before, in whatever document, is not encoded again. A new chunk is
 whose encodings are kept the same way. Chunk joins are repaired: a window of words around the join is re-encoded in one
 piece and compared with the pieces' tokens; while they differ, the window grows. For a tokenizer that drops white space
 before its merges every join agrees at the first comparison by construction, so only pieces not cut at white space need it.
-The store of encoded chunks is per task and bounded in bytes; a chunk met again after it was dropped is encoded anew.
+The store of encoded chunks is per Python worker and bounded in bytes; a chunk met again after it was dropped is encoded anew.
 """
 
 from __future__ import annotations
@@ -13,6 +13,9 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +27,8 @@ from tilepress.llm._text import texts
 
 #: Expected bytes between cuts; a power of two.
 CHUNK_BYTES = 256
-#: Bytes of pieces and of their encodings that a task keeps.
-STORE_BYTES = 96 << 20
+#: Bytes of pieces and of their encodings that a worker keeps.
+STORE_BYTES = 192 << 20
 #: Bytes of a chunk or word that is not kept, as it is unlikely to come again.
 LONGEST_KEPT = 1024
 _SPACES = bytes(0x20 if b in (0x09, 0x0A, 0x0B, 0x0C, 0x0D) else b for b in range(256))
@@ -53,6 +56,20 @@ def space_separable(definition: dict) -> bool:
     return bool(drops and plain and added and not prefix)
 
 
+def letter_runs(definition: dict) -> bool:
+    """Whether a run of ASCII letters, or of other ASCII signs but digits and quotes, is a pre-token of its own and lower-cased."""
+    split = json.dumps(definition.get("pre_tokenizer") or {})
+    plain = "|[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+\"" in split
+    return space_separable(definition) and plain and '"Lowercase"' in json.dumps(definition.get("normalizer") or {})
+
+
+#: Runs of ASCII and Latin-1 letters, which normalisation only lower-cases, then marks.
+_LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+#: The sign that byte-level vocabularies write for each byte: itself if printed in Latin-1, else the next sign from 256 on.
+_SIGNS = "".join(chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256))
+
+
 class ChunkEncoder:
     """Encodes whole texts through stores of chunks and words; ids and decoded text are exactly the tokenizer's own."""
 
@@ -64,31 +81,70 @@ class ChunkEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.separable = space_separable(json.load(f))
+            definition = json.load(f)
+        self.separable, self.runs = space_separable(definition), letter_runs(definition)
+        self.model = self.tokenizer.model
         self.chunk, self.limit = chunk, store
-        self.words: dict[bytes, tuple[bytes, str]] = {}
+        self.ids: dict[bytes, bytes] = {}  # of words
+        self.decoded: dict[bytes, str] = {}
         self.chunks: dict[bytes, tuple[bytes, str]] = {}
-        self.held = 0
+        self.held = self.held_chunks = 0
         self.reused = self.made = self.repaired = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _keep(self, store: dict, key: bytes, value: tuple[bytes, str]) -> None:
+    def _keep_chunk(self, key: bytes, value: tuple[bytes, str]) -> None:
         if len(key) <= LONGEST_KEPT:
-            self.held += len(key) + len(value[0]) + len(value[1]) + 250
-            if self.held > self.limit:
-                self.words.clear()
+            self.held_chunks += len(key) + len(value[0]) + len(value[1]) + 300
+            if self.held_chunks > self.limit // 6:
                 self.chunks.clear()
-                self.held = 0
-            store[key] = value
-
-    def _new_words(self, new: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        found = {}
-        for word, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-            found[word] = (" ".join(map(str, e.ids)).encode(), self.tokenizer.decode(e.ids, skip_special_tokens=False))
-            self._keep(self.words, word, found[word])
-        return found
+                self.held_chunks = 0
+            self.chunks[key] = value
+
+    def _put(self, word: bytes, ids: bytes, decoded: str) -> None:
+        self.ids[word], self.decoded[word] = ids, decoded
+        self.held += 2 * len(word) + len(ids) + len(decoded) + 350
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Encodes the words that are not held; afterwards all of them are."""
+        if self.held > self.limit:
+            self.ids.clear()
+            self.decoded.clear()
+            self.held = 0
+        known, rest = self.ids, []
+        for word in dict.fromkeys(words):
+            if word in known:
+                continue
+            m = _LETTERS.fullmatch(word) if self.runs else None
+            if m is None or len(word) > 256:
+                rest.append(word)
+                continue
+            letters, marks = m.groups()
+            if letters not in known:  # one pre-token of letters: the merges alone
+                tokens = self.model.tokenize("".join([_SIGNS[b] for b in letters.decode().lower().encode()]))
+                self._put(letters, b" ".join([b"%d" % t.id for t in tokens]), " ".join([t.value for t in tokens]))
+            if marks:
+                if marks not in known:
+                    self._whole([marks])
+                self._put(word, known[letters] + b" " + known[marks], f"{self.decoded[letters]} {self.decoded[marks]}")
+        if rest:
+            self._whole(rest)
+
+    def _whole(self, words: list[bytes]) -> None:
+        for word, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self._put(word, " ".join(map(str, e.ids)).encode(), self.tokenizer.decode(e.ids, skip_special_tokens=False))
+
+    def _words(self, words: list[bytes]) -> tuple[bytes, str]:
+        try:
+            ids = b" ".join(map(self.ids.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            ids = b" ".join(map(self.ids.__getitem__, words))
+        if b"  " in ids or ids[:1] == b" " or ids[-1:] == b" ":  # a word without tokens
+            words = [w for w in words if self.ids[w]]
+            ids = b" ".join(map(self.ids.__getitem__, words))
+        return ids, " ".join(map(self.decoded.__getitem__, words))
 
     def pieces(self, data: bytes) -> list[bytes]:
         """Content-defined chunks: gear cuts moved to the next white space (there is none in data but 0x20)."""
@@ -117,19 +173,12 @@ class ChunkEncoder:
             for piece in self.pieces(x.translate(_SPACES)):
                 got = self.chunks.get(piece)
                 if got is None:
-                    words = piece.split()
-                    known = self.words
-                    new = [w for w in dict.fromkeys(words) if w not in known]
-                    if new:
-                        fresh = self._new_words(new)
-                        known = self.words | fresh if len(self.words) < len(words) else self.words
-                        pairs = [known.get(w) or fresh.get(w) or self._new_words([w])[w] for w in words]
-                    else:
-                        pairs = [known[w] for w in words]
-                    got = (b" ".join([p[0] for p in pairs if p[0]]), " ".join([p[1] for p in pairs if p[0]]))
+                    got = self._words(piece.split())
                     self.made += 1
                     if len(piece) >= self.chunk // 4:
-                        self._keep(self.chunks, piece, got)
+                        self._keep_chunk(piece, got)
+                    if len(piece) > 64 * LONGEST_KEPT:  # one unbroken run; not worth its room
+                        self.ids.pop(piece, None), self.decoded.pop(piece, None)
                 else:
                     self.reused += 1
                 if got[0]:
@@ -149,7 +198,7 @@ class ChunkEncoder:
             got = self.chunks.get(key)
             if got is None:
                 new = self._ids(part)
-                self._keep(self.chunks, key, (b" ".join(b"%d" % i for i in new), ""))
+                self._keep_chunk(key, (b" ".join(b"%d" % i for i in new), ""))
             else:
                 self.reused += 1
                 new = [int(i) for i in got[0].split()]
@@ -183,6 +232,15 @@ class ChunkEncoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def worker_encoder(path: str, chunk: int) -> ChunkEncoder:
+    """The encoder of this Python worker: later tasks find what earlier ones have encoded."""
+    held = sys.modules.setdefault("_tilepress_worker", types.ModuleType("_tilepress_worker")).__dict__
+    key = ("bpe", path, chunk)
+    if key not in held:
+        held[key] = ChunkEncoder(path, chunk)
+    return held[key]
+
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -196,7 +254,7 @@ def bpe_encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
     schema = SCHEMA + (", ids array<int>, decoded string" if outputs else "")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(tokenizer, chunk)
+        encoder = worker_encoder(tokenizer, chunk)
         for batch in batches:
             n, ids_hash, text_hash, ids, decoded = [], [], [], [], []
             for count, coded, text in encoder.encode_texts(texts(batch.column(1))):
