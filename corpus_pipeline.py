@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from tilepress.llm.mixing import mix_sources
 from tilepress.llm.near_dedup import near_dedup
 from tilepress.llm.toxicity import fit, toxicity
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Score from which a document goes; toxic texts score near 1 and clean ones near 0.
 TOXIC = 0.5
