@@ -35,7 +35,7 @@ class Rule:
 
 #: The three base kinds, in their order.
 RULES = (
-    Rule("assign", 1, r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"(?i:passw|secret|token|api_?key)[a-z]*[\"']?\x20*[:=]"),
+    Rule("assign", 1, r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, r"(?i)(?:passw|secret|token|api_?key)[a-z]*[\"']?\x20*[:=]"),
     Rule("access", 1, r"AKIA[A-Z0-9]+", 0, 16, r"AKIA[A-Z0-9]{12}"),
     Rule("hex", 1, r"[0-9a-f]+", 0, 32, r"[0-9a-f]{32}"),
 )
