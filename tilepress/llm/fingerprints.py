@@ -7,8 +7,6 @@ share of subsets, among those in which either has a term, whose hashes agree. Ev
 
 from __future__ import annotations
 
-import bisect
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,7 +89,7 @@ def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     bounds = sorted(set(found or []))
     heads = {r.bucket: r.head for r in docs.select(_bucket(bounds).alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one row per range
     order = sorted(heads)
-    guests = [(heads[b], order[(order.index(b) + 1) % len(order)] if len(order) < 64 else order[(bisect.bisect_left(order, b) + 1) % len(order)]) for b in order]
+    guests = [(heads[b], order[(i + 1) % len(order)]) for i, b in enumerate(order)]
     guest_rows = F.broadcast(spark.createDataFrame(guests, "head long, at int"))
     rows = docs.join(guest_rows, F.col("doc_id").eqNullSafe(F.col("head")), "left").withColumn("own", _bucket(bounds))
     places = F.when(F.col("at").isNull(), F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")))).otherwise(
