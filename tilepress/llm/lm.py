@@ -1,10 +1,9 @@
 """Language-model scores by stupid backoff, computed as joins of count tables partitioned by hash.
 
-Unigrams are counted over the whole corpus. Words that make up at least a fixed share of it are the vocabulary (their number is
-bounded by the inverse of that share, whatever the corpus' size); the others are one unknown word. Every document's distinct
-bigrams, with their counts in it, are dealt by bigram hash; in its partition a bigram's corpus count is summed, joined back to
-the documents' bigrams, and the scores are summed per document: log(c(u w) / c(u)) where c(u w) reaches min_count, else
-log(backoff * c(w) / N).
+Words and pairs of neighbouring words are named by 64-bit hashes; every one of them is counted, however rare. The texts are
+packed in runs. Each run's distinct words and pairs, with their counts in it, are dealt by hash; in its partition the corpus
+count of each is summed and goes back to the runs, in the order in which they sent it. A run then meets its texts again and
+scores them: log(c(u w) / c(u)) where c(u w) reaches min_count, else log(backoff * c(w) / N).
 """
 
 from __future__ import annotations
@@ -20,14 +19,15 @@ from tilepress.llm._common import table, text_batches, text_of, written
 from tilepress.llm._text import Words, mix, slices, texts
 from tilepress.llm.near_dedup import _lists, groups
 
-#: A vocabulary word makes up at least this share of all words: at most a million words.
-VOCABULARY_SHARE = 1e-6
 BACKOFF, MIN_COUNT = 0.4, 2
-#: Bigrams of a partition of the count table.
+#: Words of the corpus for each partition of the count table.
 PARTITION_GRAMS = 3_000_000
 #: Distinct words that a task holds before it passes their counts on.
 HELD = 400_000
-UNKNOWN, START = 0, 1
+#: Bytes of a run of texts; a longer text is a run of its own.
+RUN_BYTES = 4 << 20
+#: Stand for a word outside a chosen vocabulary, and for the start of a document.
+UNKNOWN, START = np.uint64(0), np.uint64(1)
 
 
 def unigrams(docs: DataFrame) -> DataFrame:
@@ -60,113 +60,123 @@ def unigrams(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Vocabulary:
-    """Numbers and counts of the vocabulary's words; 0 is every other word, 1 the start of a document."""
+def _press(x) -> bytes:
+    return pa.compress(pa.py_buffer(x), codec="zstd", asbytes=True)
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, total: int, documents: int):
-        order = np.argsort(words)
-        self.words = words[order]
-        self.counts = np.concatenate(([max(0, total - int(counts.sum())), documents], counts[order])).astype(np.int64)
-        self.total = total
 
-    def number(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 2, UNKNOWN)
+def _pressed(x: bytes, size: int) -> bytes:
+    return pa.decompress(x, decompressed_size=size, codec="zstd", asbytes=True)
 
 
-def bigrams(items: list[bytes], vocabulary: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: text number, bigram (u * size + w) and count of each distinct bigram of a text."""
-    size = len(vocabulary.counts)
-    for a, b in slices(items):
-        w = Words(items[a:b])
-        number = vocabulary.number(w.hash)
-        before = np.concatenate(([START], number[:-1]))
-        before[np.concatenate(([True], w.doc[1:] != w.doc[:-1]))[: len(before)]] = START
-        gram = before[: len(number)] * size + number
-        order = np.lexsort((gram, w.doc))
-        doc, gram = w.doc[order], gram[order]
-        head = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (gram[1:] != gram[:-1])))) if len(doc) else np.zeros(0, int)
-        yield doc[head] + a, gram[head], np.diff(np.append(head, len(doc)))
+def _items(sizes: list[int], pressed: bytes) -> list[bytes]:
+    """The texts of a run."""
+    data, ends = _pressed(pressed, sum(sizes)) if sum(sizes) else b"", np.cumsum(sizes).tolist()
+    return [data[e - n : e] for n, e in zip(sizes, ends, strict=True)]
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = VOCABULARY_SHARE, backoff: float = BACKOFF, min_count: int = MIN_COUNT, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
+class Grams:
+    """Distinct words and pairs of a run of texts, and where each word of the run finds its own, its pair's and its predecessor's."""
+
+    def __init__(self, items: list[bytes], parts: int, known: np.ndarray | None = None):
+        doc, words, pairs = [], [], []
+        for a, b in slices(items):
+            w = Words(items[a:b])
+            word = w.hash if known is None else np.where(np.isin(w.hash, known), w.hash, UNKNOWN)
+            before = np.concatenate((np.array([START]), word[:-1]))[: len(word)]
+            before[np.flatnonzero(np.diff(w.doc, prepend=-1))] = START
+            doc.append(w.doc + a)
+            words.append(word)
+            pairs.append(mix(before + mix(word + np.uint64(0x9E3779B97F4A7C15))))
+        self.doc = np.concatenate(doc) if doc else np.zeros(0, np.int64)
+        n = len(self.doc)
+        # a start for each text, so that the count of starts is that of the documents
+        own, place, self.n = np.unique(np.concatenate([*words, *pairs, np.full(len(items), START)]), return_inverse=True, return_counts=True)
+        part = (mix(own ^ np.uint64(0x2545F4914F6CDD1D)) % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        self.own, self.n, self.bounds = own[order], self.n[order], np.searchsorted(part[order], np.arange(parts + 1))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        place = rank[place]
+        self.word, self.pair = place[:n], place[n : 2 * n]
+        self.before = np.concatenate((place[2 * n : 2 * n + 1], self.word[:-1]))[:n]
+        self.before[np.flatnonzero(np.diff(self.doc, prepend=-1))] = place[2 * n] if len(items) else 0
+
+
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.0, backoff: float = BACKOFF, min_count: int = MIN_COUNT, partition_grams: int = PARTITION_GRAMS) -> DataFrame:
     """One row per document row: doc_id, n_tokens, log_prob (natural log, summed) and score (log_prob per word; 0 without words).
 
     The model is the table itself. Null, empty and blank texts have no words. Repeated rows count as often as they occur and
-    each get a row; null ids stay null; an empty table gives no rows.
+    each get a row; null ids stay null; an empty table gives no rows. share: words that make up less of the corpus are one
+    unknown word; 0 keeps all words.
     """
     spark = docs.sparkSession
     text_batches(spark)
     base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
-    counted = written(unigrams(base), "lm-unigrams")
-    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    known = counted.where(F.col("n") >= max(1, share * total)).toPandas()  # at most 1 / share rows
-    vocabulary = Vocabulary(known["word"].to_numpy(np.int64).view(np.uint64), known["n"].to_numpy(np.int64), total, base.count())
-    shared = spark.sparkContext.broadcast((vocabulary.words, vocabulary.counts))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items, keys, ids = texts(batch.column(2)), batch.column(0), batch.column(1)
+            for a, b in slices(items, RUN_BYTES):
+                part = items[a:b]
+                row = (keys[a].as_py(), pa.int64()), (len(b" ".join(part).split()), pa.int64()), (ids[a:b].to_pylist(), pa.list_(pa.int64())), ([len(x) for x in part], pa.list_(pa.int32())), (_press(b"".join(part)), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in row], names=["run", "n", "ids", "sizes", "texts"])
+
+    # written once: both readers must see the same runs
+    runs = written(base.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(pack, "run long, n long, ids array<long>, sizes array<int>, texts binary"), "lm-runs")
+    total = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = max(12, -(-total // partition_grams))
-    size = len(vocabulary.counts)
+    shared = spark.sparkContext.broadcast(_vocabulary(base, share * total) if share > 0 else None)
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), total, 0)
-        own.words, own.counts = shared.value
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            items = texts(batch.column(2))
-            keys, ids = batch.column(0).to_numpy(), batch.column(1)
-            found = [np.concatenate(x) for x in zip(*bigrams(items, own), strict=True)] if items else []
-            if not found:
-                continue
-            doc, gram, n = found
-            empty = np.setdiff1d(np.arange(len(items)), doc)
-            part = (mix(gram.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            part, doc, gram, n = part[order], doc[order], gram[order], n[order]
-            bounds = np.searchsorted(part, np.arange(parts + 1))
-            columns: list[list] = [[] for _ in range(7)]
-            for p in range(parts):
-                lo, hi = bounds[p], bounds[p + 1]
-                d, first = np.unique(doc[lo:hi], return_index=True)
-                lens = np.diff(np.append(first, hi - lo))
-                if p == int(keys[0]) % parts and len(empty):  # texts without words need a row too
-                    d, lens = np.concatenate((d, empty)), np.concatenate((lens, np.zeros(len(empty), np.int64)))
-                if len(d):
-                    for c, x in zip(columns, (p, int(keys[0]), keys[d], ids.take(pa.array(d)).to_pylist(), lens.astype(np.int32), gram[lo:hi], n[lo:hi].astype(np.int32)), strict=True):
-                        c.append(x)
-            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["p", "batch", "keys", "ids", "lens", "grams", "counts"])
-
-    dealt = base.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").mapInArrow(explode, "p int, batch long, keys array<long>, ids array<long>, lens array<int>, grams array<long>, counts array<int>")
+            for run, sizes, pressed in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                g = Grams(_items(sizes.as_py(), pressed.as_py()), parts, shared.value)
+                some = np.flatnonzero(np.diff(g.bounds))
+                own = pa.ListArray.from_arrays(pa.array(np.append(g.bounds[some], len(g.own)).astype(np.int32)), pa.array(g.own.view(np.int64)))
+                n = pa.array([_press(g.n[g.bounds[p] : g.bounds[p + 1]]) for p in some], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), run)), own, n], names=["p", "run", "grams", "counts"])
+
+    dealt = runs.select("run", "sizes", "texts").mapInArrow(deal, "p int, run long, grams array<long>, counts binary")
     dealt = dealt.repartition(parts, "p").sortWithinPartitions("p")
 
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value[1].astype(float)
-        log_counts = np.log(np.maximum(counts, 0.5))
-        for g in groups(batches, 1):
-            keys, lens, grams, n = (np.concatenate([np.zeros(0, np.int64), *_lists(g.column(k))]) for k in ("keys", "lens", "grams", "counts"))
-            _, place = np.unique(grams, return_inverse=True)
-            pair = np.bincount(place, n)[place] if len(grams) else np.zeros(0)
-            logs = np.where(pair >= min_count, np.log(np.maximum(pair, 1)) - log_counts[grams // size], np.log(backoff) + log_counts[grams % size] - np.log(max(total, 1)))
-            doc = np.repeat(np.arange(len(keys)), lens)
-            # one row goes back to each batch of texts, with its documents' sums
-            held = pa.concat_arrays(g.column("keys").chunks)
-            offsets = pa.array(np.concatenate(([0], np.cumsum(held.value_lengths().to_numpy()))).astype(np.int32))
-            sums = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (np.bincount(doc, n, len(keys)).astype(np.int64), np.bincount(doc, n * logs, len(keys)))]
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(g.column("batch").chunks), held, pa.concat_arrays(g.column("ids").chunks), *sums], names=["batch", "keys", "ids", "ns", "logs"])
-
-    back = dealt.mapInArrow(join, "batch long, keys array<long>, ids array<long>, ns array<long>, logs array<double>")
-    back = back.repartition(parts, "batch").sortWithinPartitions("batch")
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, 1):
-            keys, ns, logs = (np.concatenate(list(_lists(g.column(k)))) for k in ("keys", "ns", "logs"))
-            ids = pa.concat_arrays([c.flatten() for c in g.column("ids").chunks])
-            own, first, place = np.unique(keys, return_index=True, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), pa.array(np.bincount(place, ns, len(own)).astype(np.int64)), pa.array(np.bincount(place, logs, len(own)))], names=["doc_id", "n_tokens", "log_prob"])
-
-    sums = back.mapInArrow(add_up, "doc_id long, n_tokens long, log_prob double")
+            lists = list(_lists(g.column("grams")))
+            n = np.concatenate([np.frombuffer(_pressed(x, 8 * len(own)), np.int64) for own, x in zip(lists, g.column("counts").to_pylist(), strict=True)])
+            _, place = np.unique(np.concatenate(lists), return_inverse=True)
+            sums = np.bincount(place, n).astype(np.int64)[place]
+            ends = np.cumsum([len(x) for x in lists])
+            back = pa.array([_press(sums[e - len(x) : e]) for x, e in zip(lists, ends, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(g.column("run").chunks), pa.concat_arrays(g.column("p").chunks), back], names=["run", "p", "counts"])
+
+    counted = dealt.mapInArrow(count, "run long, p int, counts binary")
+    both = counted.unionByName(runs.select("run", F.lit(-1).alias("p"), "ids", "sizes", "texts"), allowMissingColumns=True)
+    both = both.repartition(parts, "run").sortWithinPartitions("run", "p")
+
+    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, 1):
+            first = {k: t.column(k)[0] for k in ("ids", "sizes", "texts")}  # the texts come first
+            ids, items = first["ids"].values, _items(first["sizes"].as_py(), first["texts"].as_py())
+            g = Grams(items, parts, shared.value)
+            n = np.zeros(len(g.own), np.int64)
+            for p, x in zip(t.column("p").to_pylist()[1:], t.column("counts").to_pylist()[1:], strict=True):
+                n[g.bounds[p] : g.bounds[p + 1]] = np.frombuffer(_pressed(x, 8 * (g.bounds[p + 1] - g.bounds[p])), np.int64)
+            if not n.all():
+                raise ValueError("counts of a run are missing")
+            logs = np.log(n)
+            each = np.where(n[g.pair] >= min_count, logs[g.pair] - logs[g.before], np.log(backoff) + logs[g.word] - np.log(max(total, 1)))
+            sums = np.bincount(g.doc, minlength=len(items)).astype(np.int64), np.bincount(g.doc, each, len(items))
+            yield pa.RecordBatch.from_arrays([ids, *map(pa.array, sums)], names=["doc_id", "n_tokens", "log_prob"])
+
+    sums = both.mapInArrow(scores, "doc_id long, n_tokens long, log_prob double")
     return sums.select("doc_id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).otherwise(0.0).alias("score"))
 
 
+def _vocabulary(base: DataFrame, least: float) -> np.ndarray:
+    """Hashes of the words that occur at least so often."""
+    found = unigrams(base).where(F.col("n") >= max(1, least)).toPandas()
+    return np.sort(found["word"].to_numpy(np.int64).view(np.uint64))
+
+
 def op6_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff_scores(table(spark, sf_dir, "documents"))
