@@ -156,5 +156,18 @@ def test_substrings(spark, odd):
     assert substring_dedup(odd).count() == len(ODD)
 
 
+def test_passages_of_just_over_50_words(spark):
+    """Every passage with a repeated chunk of average length loses it; only those that hardly hold two cuts stay."""
+    passages = [words(1000 + i, 51 + i % 10, 2_000) for i in range(300)]
+    pairs = [(k * 1000 + i, f"{words(2000 + k * 1000 + i, 30, 2_000)} {p} {words(7000 + k * 1000 + i, 30, 2_000)}") for k in (0, 1) for i, p in enumerate(passages)]
+    got = {r.doc_id: r for r in substring_dedup(frame(spark, pairs)).collect()}
+    for d, text in pairs[300:]:
+        data = text.encode()
+        cut = [data[a:b].decode() for a, b in (map(int, s.split(":")) for s in got[d].spans.split(",") if s)]
+        assert all(c in pairs[d - 1000][1] for c in cut)
+    assert sum(got[d].removed_bytes == 0 for d, _ in pairs[300:]) <= 0.05 * 300
+    assert not any(got[d].removed_bytes for d, _ in pairs[:300])
+
+
 def test_empty(empty):
     assert exact_dedup(empty).collect() == near_dedup(empty).collect() == substring_dedup(empty).collect() == []

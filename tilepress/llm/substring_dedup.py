@@ -19,8 +19,9 @@ from tilepress.llm.bpe import gear_cuts
 
 #: Expected and least bytes of a chunk. A repeated passage loses what lies between the first and last cut inside it.
 MEAN, LEAST = 32, 16
-#: Bytes of the shortest run of repeated chunks that is removed, some 20 words: common phrases and short lines stay.
-RUN = 128
+#: Bytes of the shortest run of repeated chunks that is removed, one chunk on average: of a passage of some 50 words often no more
+#: than that lies between two cuts. Shorter repeated phrases stay.
+RUN = LEAST + MEAN
 
 
 def chunk_ends(data: bytes, mean: int = MEAN, least: int = LEAST) -> list[int]:
