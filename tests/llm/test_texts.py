@@ -71,6 +71,19 @@ def test_fingerprints(spark, odd, empty):
     assert sum(r.near_edited > r.near_next for r in out) > 40
 
 
+def test_fingerprints_of_large_groups(spark):
+    """Copies and near copies that are more than a tenth of all rows, and texts without a term in the band, keep their terms."""
+    a, b, c = words(1, 60), words(2, 60), words(3, 60, 10_000)
+    pairs = [(i, a if i % 2 else b) for i in range(60)] + [(100 + i, words(100 + i, 60, 5000)) for i in range(40)] + [(200 + i, f"{c} own{i}") for i in range(40)]
+    by = {r.doc_id: r for r in imatch(frame(spark, pairs)).collect()}
+    assert by[0].fingerprint == by[2].fingerprint != by[1].fingerprint == by[3].fingerprint and all("-" * 280 not in by[i].fingerprint for i, _ in pairs)
+    assert all(by[i].near_next < 0.5 for i in range(60)) and all(by[i].near_next > 0.5 for i in range(201, 240))
+    assert 0 < by[200].near_edited < 1
+    none = spark.createDataFrame([("zzz",)], "term string")
+    out = imatch(frame(spark, [(i, words(i, 80, 10_000)) for i in range(30)]), lexicon_of=none).collect()
+    assert len({r.fingerprint for r in out}) == 30 and all(r.near_next < 0.5 < 1 for r in out) and sum(r.near_edited > r.near_next for r in out) > 20
+
+
 def test_lexicon(spark):
     pairs = [(i, f"all {'half' if i % 2 else ''} one{i}") for i in range(40)]
     got = {r.term: r.df for r in lexicon(frame(spark, pairs).select("text"), 0.1, 0.6).collect()}

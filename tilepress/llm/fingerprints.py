@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tilepress.llm._common import SPACE, shuffle_partitions, table, text_of, written
 
-#: Document frequencies of the band, as shares of all documents (idf from ln 10 to ln 1000). Of a corpus with t distinct terms
+#: Document frequencies of the band, as shares of all distinct texts (idf from ln 10 to ln 1000). Of a corpus with t distinct terms
 #: a document on average, at most t / MIN_SHARE terms reach the lower end, whatever the corpus' size: that bounds the lexicon.
 MIN_SHARE, MAX_SHARE = 0.001, 0.1
 #: Lexicon terms that are sent to every executor; a larger lexicon is joined by a shuffle instead.
@@ -22,6 +22,8 @@ SUBSETS = ((2, 1 / 8), (4, 1 / 16), (8, 1 / 32), (8, 1 / 64), (16, 1 / 256), (32
 N_SUBSETS = sum(n for n, _ in SUBSETS)
 #: Texts of at most so many distinct terms keep all of them, as the band may leave them none.
 SHORT = 24
+#: So do texts with fewer terms than that in the band, whatever their length.
+FEW = 8
 _NONE = "----"
 
 
@@ -31,7 +33,8 @@ def terms(text: Column) -> Column:
 
 
 def lexicon(texts: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
-    """term and df of every term of the column `text` whose document frequency lies in the band; counted over all rows."""
+    """term and df of every term of the column `text` whose document frequency lies in the band; copies count once."""
+    texts = texts.select("text").distinct()
     n = texts.count()
     seen = texts.select(F.explode(terms(F.col("text"))).alias("term")).where("term != ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return written(seen.where((F.col("df") >= min_share * n) & (F.col("df") <= max(max_share * n, 1))), "imatch-lexicon")
@@ -123,17 +126,24 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed
     rows = rows.withColumn("short", F.size("terms") <= SHORT)
     rows = rows.select("bucket", "rn", "version", "short", "guest", "doc_id", "n_chars", "sha", F.posexplode("terms").alias("pos", "term"))
     rows = rows.join(lex, "term", "left")
-    subset = F.coalesce(F.col("subset"), F.when(F.col("short") & (F.col("term") != ""), subset_of(F.col("term"), seed)))
+    subset = F.coalesce(F.col("subset"), F.when(F.col("term") != "", subset_of(F.col("term"), seed)))
+    banded = F.col("subset").isNotNull()
     first = F.col("pos") == 0
     rows = rows.select(
         "bucket", "rn", "version", F.when(first, F.col("guest")).alias("guest"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("n_chars")).alias("n_chars"),
-        F.when(first & (F.col("version") == 1), F.col("sha")).alias("sha"), F.concat(subset, F.lit(" "), F.col("term")).alias("entry"),
+        F.when(first & (F.col("version") == 1), F.col("sha")).alias("sha"), F.concat(subset, F.lit(" "), F.col("term")).alias("entry"), banded.alias("banded"),
+        F.when(first, F.col("short")).alias("short"),
     )
     per_doc = rows.groupBy("bucket", "rn").agg(
         F.max("guest").alias("guest"), F.max("doc_id").alias("doc_id"), F.max("n_chars").alias("n_chars"), F.max("sha").alias("edited_sha256"),
-        F.collect_list(F.when(F.col("version") == 0, F.col("entry"))).alias("own"), F.collect_list(F.when(F.col("version") == 1, F.col("entry"))).alias("edited"),
+        *[F.collect_list(F.when((F.col("version") == v) & (F.col("banded") == b), F.col("entry"))).alias(f"{name}_{'in' if b else 'out'}") for v, name in ((0, "own"), (1, "edited")) for b in (True, False)],
+        *[F.max(F.when(F.col("version") == v, F.col("short"))).alias(f"{name}_short") for v, name in ((0, "own"), (1, "edited"))],
     )
-    prints = per_doc.select("bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256", subset_hashes(F.col("own")).alias("own"), subset_hashes(F.col("edited")).alias("edited"))
+    # a text with few terms in the band keeps all; its edited version does likewise, so that the two can be compared
+    own_all = F.col("own_short") | (F.size("own_in") < FEW)
+    edited_all = own_all | F.col("edited_short") | (F.size("edited_in") == 0)
+    own, edited = (F.when(whole, F.concat(f"{name}_in", f"{name}_out")).otherwise(F.col(f"{name}_in")) for name, whole in (("own", own_all), ("edited", edited_all)))
+    prints = per_doc.select("bucket", "rn", "guest", "doc_id", "n_chars", "edited_sha256", subset_hashes(own).alias("own"), subset_hashes(edited).alias("edited"))
     w = Window.partitionBy("bucket").orderBy("rn")
     prints = prints.withColumn("next", F.coalesce(F.lead("own").over(w), "own")).where("guest = 0")
     return prints.select(
