@@ -52,8 +52,8 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    return _without(docs, near_dedup(docs).where("doc_id != component_id"))
+    """Of each group of near-duplicates (similarity of 0.8 or more) the document with the smallest id stays."""
+    return _without(docs, near_dedup(docs, percent=80, least=12).where("doc_id != component_id"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

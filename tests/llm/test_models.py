@@ -91,3 +91,21 @@ def test_pipeline(spark, tmp_path):
     assert sorted(kept["bpe"]) == sorted(kept["mixing"])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(kept["bpe"])
     assert os.path.exists(f"{tmp_path}/4")
+
+
+def staged(spark, path, rows):
+    spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_pipeline_near_copies_from_80_percent(spark, tmp_path):
+    import corpus_pipeline
+
+    own = words(5, 100, 1_000_000).split()
+    other, far = list(own), list(own)
+    for k in (30, 60):
+        other[k] = "changed"  # 86 of 106 shingles: 0.81
+    for k in (20, 40, 60):
+        far[k] = "else"  # 81 of 111: 0.73
+    docs = staged(spark, f"{tmp_path}/docs", [(1, " ".join(own)), (2, " ".join(other)), (3, " ".join(far))])
+    assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [1, 3]
