@@ -6,10 +6,11 @@ import sys
 from collections.abc import Callable
 
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepress.llm._common import scratch
+from tilepress.llm._common import scratch, written
 from tilepress.llm.bpe import bpe_encode, word_tokenizer
 from tilepress.llm.exact_dedup import exact_dedup
 from tilepress.llm.mixing import mix_sources
@@ -23,9 +24,26 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.5
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose id is not among the dropped; rows without an id stay, as do all rows that repeat an id that stays."""
-    return docs.join(dropped.select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with row_key, a number of their own for all rows: ids may be null or repeat.
+
+    In files it is the number of the file and the place of the row in it, so every reading gives the same; other rows are written first.
+    """
+    spark = docs.sparkSession
+    try:
+        at = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_at"))
+    except AnalysisException:  # not read from files
+        return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "pipeline-rows")
+    files = sorted(r.row_file for r in at.select("row_file").distinct().collect())  # one row per file
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "number long, row_file string"))
+    return at.join(numbers, "row_file").select(*COLUMNS, (F.shiftleft("number", 40) + F.col("row_at")).alias("row_key"))
+
+
+def _first_of_each(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of the rows of each group (row_key, group) the one with the smallest id, null ids last; a single one of rows that repeat it."""
+    ids = keyed.select("doc_id", "row_key").join(groups, "row_key")
+    stay = ids.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("stays"))
+    return keyed.join(stay.select("stays.row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,18 +66,23 @@ def _scored(model):
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts the one with the smallest id stays."""
-    return _without(docs, exact_dedup(docs).where("doc_id != keep_id"))
+    keyed = _keyed(docs)
+    found = exact_dedup(keyed, id_col="row_key")
+    return _first_of_each(keyed, found.select(F.col("doc_id").alias("row_key"), F.col("keep_id").alias("group")))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (similarity of 0.8 or more) the document with the smallest id stays."""
-    return _without(docs, near_dedup(docs, percent=80, least=12).where("doc_id != component_id"))
+    keyed = _keyed(docs)
+    found = near_dedup(keyed, id_col="row_key", percent=80, least=12)
+    return _first_of_each(keyed, found.select(F.col("doc_id").alias("row_key"), F.col("component_id").alias("group")))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources: documents it takes, each as often as it takes them."""
-    taken = mix_sources(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(taken, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+    keyed = _keyed(docs)
+    taken = mix_sources(keyed, row_col="row_key").where("copies > 0").select("row_key", "copies")
+    return keyed.join(taken, "row_key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -109,3 +109,23 @@ def test_pipeline_near_copies_from_80_percent(spark, tmp_path):
         far[k] = "else"  # 81 of 111: 0.73
     docs = staged(spark, f"{tmp_path}/docs", [(1, " ".join(own)), (2, " ".join(other)), (3, " ".join(far))])
     assert sorted(r.doc_id for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()) == [1, 3]
+
+
+@pytest.mark.parametrize("read", [True, False])
+def test_pipeline_null_and_repeated_ids(spark, tmp_path, read):
+    import corpus_pipeline
+
+    a, b, c, d, e, f = (words(i, 60, 1_000_000) for i in range(30, 36))
+    rows = [(5, a), (None, a), (5, a), (6, b), (6, b), (6, c), (3, c), (None, d), (None, d), (None, e), (None, e + " end"), (7, f), (7, f + " end"), (7, words(40, 60, 1_000_000))]
+    docs = staged(spark, f"{tmp_path}/docs", rows)
+    docs = docs if read else spark.createDataFrame(docs.collect(), docs.schema).repartition(3)
+    seen = lambda frame: sorted(((r.doc_id, r.text) for r in frame.collect()), key=str)
+    exact = corpus_pipeline.without_copies(spark, docs, "")
+    want = [(5, a), (6, b), (3, c), (None, d), (None, e), (None, e + " end"), (7, f), (7, f + " end"), rows[-1]]
+    assert seen(exact) == sorted(want, key=str)
+    exact.write.parquet(f"{tmp_path}/exact")
+    near = seen(corpus_pipeline.without_near_copies(spark, spark.read.parquet(f"{tmp_path}/exact"), ""))
+    assert len(near) == 7 and {t.removesuffix(" end") for _, t in near} == {t.removesuffix(" end") for _, t in want}
+    mixed = seen(corpus_pipeline.mixed(spark, docs, ""))
+    size = lambda found: sum(len(t.split()) for _, t in found)
+    assert size(mixed) == pytest.approx(1.5 * size(rows), abs=62) and set(mixed) == set(rows) and max(mixed.count(x) / rows.count(x) for x in rows) <= 2

@@ -101,7 +101,7 @@ def min_cost_flow(capacity: dict, members: dict, quota: dict, most: int = 2) ->
     return sent
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: str | None = "source", weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 17) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sources: str | None = "source", weights=WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 17, row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, copies; size counts white-space words.
 
     sources: a string column (a document belongs to that source; null is a source of its own, last in order) or an array
@@ -110,12 +110,15 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seeded order fills the class's part of the flow, never above it; the shortfalls are then filled greedily from the first
     unchosen document of each class, largest first, so the rest left is below the smallest of those.
     Null and empty texts have size 0 and are never taken. Sources without words have target 0. An empty table gives no rows.
+    row_col: a column with another value in each row, which comes along; rows that repeat an id are told apart by it.
     For overlapping documents source_size and target are those of the first source; null array elements are the null source.
     """
     spark = docs.sparkSession
     kind = docs.schema[sources].dataType
     pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(sources), F.array(F.lit(None).cast("string"))))) if isinstance(kind, T.ArrayType) else F.array(F.col(sources).cast("string"))
+    row = [] if row_col is None else [row_col]
     slim = docs.select(
+        *row,
         F.col(id_col).alias("doc_id"),
         pattern.alias("pattern"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
@@ -160,7 +163,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # distributed prefix sums of the seeded order: over bucket sums, then inside each bucket
     per_bucket = joined.groupBy("key", "bucket").agg(F.sum("size").alias("sum"))
     before = per_bucket.select("key", "bucket", (F.sum("sum").over(Window.partitionBy("key").orderBy("bucket")) - F.col("sum")).alias("before"))
-    inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("key", "bucket").orderBy("order", "doc_id", *row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = joined.withColumn("upto", F.sum("size").over(inside)).join(before, ["key", "bucket"]).withColumn("upto", F.col("upto") + F.col("before"))
     placed = written(placed.withColumn("extra", ((F.col("upto") <= F.col("part")) & (F.col("size") > 0)).cast("int")), "mixing-placed")
 
@@ -182,7 +185,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     chosen = F.broadcast(spark.createDataFrame(more, "key long, upto long").withColumn("more", F.lit(1)))
     # a zero-size row can share `upto`, a document that is chosen cannot; repeated rows differ in `upto`
     out = placed.join(chosen, ["key", "upto"], "left").withColumn("copies", F.when(F.col("size") > 0, F.col("base") + F.col("extra") + F.coalesce(F.col("more"), F.lit(0))).otherwise(0))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", *row)
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
