@@ -133,3 +133,13 @@ def test_registry_matches_sql(spark):
         want = db.sql(registry.SQL[name]).df()[list(got.columns)]
         key = list(got.columns)
         assert sorted(map(tuple, got[key].values.tolist())) == sorted(map(tuple, want[key].values.tolist())), name
+
+
+def test_reconstruct_query_takes_the_whole_matrix(spark, tmp_path):
+    import __spark_entry__
+
+    rng = np.random.default_rng(3)
+    x = (rng.standard_normal((50, 12)) @ rng.standard_normal((12, 64))).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.row, r.col): r.v for r in __spark_entry__.queries()["reconstruct_svd"](spark, str(tmp_path)).collect()}
+    assert len(got) == 50 * 64 and max(abs(got[i, j] - x[i, j]) for i in range(50) for j in range(64)) < 1e-3

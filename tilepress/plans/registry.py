@@ -167,6 +167,13 @@ def reconstruct_lowrank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowrank.reconstruct_long(u, s, v).select("row", "col", F.round("x", 6).alias("x"))
 
 
+def reconstruct_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All cells of U diag(S) V^T, from factors of the whole matrix."""
+    wide = embeddings(spark, sf_dir)
+    f = lowrank.lowrank_svd(wide, COLUMNS, 16)
+    return _cells(lowrank.reconstruct(f.u, f.s, f.v))
+
+
 def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowrank.lowrank_svd(embeddings(spark, sf_dir), COLUMNS, 16).s_frame()
 
@@ -212,6 +219,7 @@ QUERIES: dict[str, Query] = {
     "topk_extract_long": topk_long,
     "gram_matrix": gram_matrix,
     "reconstruct_lowrank": reconstruct_lowrank,
+    "reconstruct_svd": reconstruct_svd,
     "lowrank_singular_values": singular_values,
     "lowrank_error": lowrank_error,
     "compress_direct_fp32": compressed(),
