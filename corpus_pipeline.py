@@ -15,13 +15,11 @@ from tilepress.llm.bpe import bpe_encode, word_tokenizer
 from tilepress.llm.exact_dedup import exact_dedup
 from tilepress.llm.mixing import mix_sources
 from tilepress.llm.near_dedup import near_dedup
-from tilepress.llm.toxicity import fit, toxicity
+from tilepress.llm.toxicity import THRESHOLD, fit
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Score from which a document goes; toxic texts score near 1 and clean ones near 0.
-TOXIC = 0.5
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -59,7 +57,7 @@ def _scored(model):
 
         for batch in batches:
             text = ["" if x is None else x for x in batch.column(1).to_pylist()]
-            yield batch.filter(pa.array(np.asarray(model.score(text)) < TOXIC))
+            yield batch.filter(pa.array(np.asarray(model.score(text)) < THRESHOLD))
 
     return run
 

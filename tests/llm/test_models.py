@@ -129,3 +129,12 @@ def test_pipeline_null_and_repeated_ids(spark, tmp_path, read):
     mixed = seen(corpus_pipeline.mixed(spark, docs, ""))
     size = lambda found: sum(len(t.split()) for _, t in found)
     assert size(mixed) == pytest.approx(1.5 * size(rows), abs=62) and set(mixed) == set(rows) and max(mixed.count(x) / rows.count(x) for x in rows) <= 2
+
+
+def test_pipeline_drops_what_the_operator_marks(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    model = toxicity.Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(0.4 / 0.6)))  # every text scores 0.4
+    monkeypatch.setattr(corpus_pipeline, "fit", lambda *_: model)
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.clean(spark, staged(spark, f"{tmp_path}/docs", [(1, "a b c")]), str(tmp_path)).collect() == []
