@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
 
-from pyspark import cloudpickle
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +13,11 @@ from tilepress.llm.bpe import bpe_encode, word_tokenizer
 from tilepress.llm.exact_dedup import exact_dedup
 from tilepress.llm.mixing import mix_sources
 from tilepress.llm.near_dedup import near_dedup
-from tilepress.llm.toxicity import THRESHOLD, fit
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from tilepress.llm.toxicity import fit, without_toxic
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Files whose numbers are broadcast; rows of more files are written with keys of their own instead.
+MAX_FILES = 100_000
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -30,10 +28,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     try:
         at = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("row_file"), F.col("_metadata.row_index").alias("row_at"))
+        files = [r.row_file for r in at.select("row_file").distinct().limit(MAX_FILES + 1).collect()]
     except AnalysisException:  # not read from files
+        files = None
+    if files is None or len(files) > MAX_FILES:
         return written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row_key")), "pipeline-rows")
-    files = sorted(r.row_file for r in at.select("row_file").distinct().collect())  # one row per file
-    numbers = F.broadcast(spark.createDataFrame(list(enumerate(files)), "number long, row_file string"))
+    numbers = F.broadcast(spark.createDataFrame(list(enumerate(sorted(files))), "number long, row_file string"))  # at most MAX_FILES rows
     return at.join(numbers, "row_file").select(*COLUMNS, (F.shiftleft("number", 40) + F.col("row_at")).alias("row_key"))
 
 
@@ -47,19 +47,7 @@ def _first_of_each(keyed: DataFrame, groups: DataFrame) -> DataFrame:
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops toxic documents. The classifier learns from the labelled rows; texts without evidence stay."""
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return docs.select(*COLUMNS).mapInArrow(_scored(model), docs.select(*COLUMNS).schema)
-
-
-def _scored(model):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            text = ["" if x is None else x for x in batch.column(1).to_pylist()]
-            yield batch.filter(pa.array(np.asarray(model.score(text)) < THRESHOLD))
-
-    return run
+    return without_toxic(docs.select(*COLUMNS), model)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,17 +18,19 @@ TEXT_BATCH = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share, from spark.checkpoint.dir. Where that is unset, a session that runs in the
+    driver's own process gets a temporary folder; on a cluster that would not be shared, so it is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path is None:
-        checkpoint = spark.sparkContext.getCheckpointDir()
-        path = checkpoint or tempfile.mkdtemp(prefix="tilepress-")
-        if checkpoint is None:
-            spark.sparkContext.setCheckpointDir(path)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tilepress-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table that nothing reads any more."""
     try:
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,7 +42,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_delete, spark, path)
+    atexit.register(drop, spark, path)
     return path
 
 

@@ -16,9 +16,10 @@ from tilepress.llm._text import slices
 
 #: Lengths of the character n-grams, and bits of their hashed space.
 LENGTHS, BITS = (3, 4, 5), 20
-#: Features that enter the linear fit: those whose presence tells the classes apart most (signed root of the G statistic).
+#: Size of the model: n-grams that enter the linear fit, those whose presence tells the classes apart most (G statistic). A
+#: parameter of the fit; no row or text is passed over for it.
 FEATURES = 4096
-#: Tasks over the bounded sample; each sends one count vector to the driver.
+#: Tasks over the bounded sample.
 FIT_TASKS = 8
 THRESHOLD = 0.3
 _FACTORS = np.random.default_rng(977).integers(0, 2**31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -93,15 +94,12 @@ def _logistic(indices: np.ndarray, rows: np.ndarray, value: np.ndarray, y: np.nd
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, ridge: float = 1e-4) -> Model:
-    """Learns from at most `rows` labelled rows; only their texts and labels are looked at."""
-    text_batches(docs.sparkSession)
-    chosen = F.broadcast(sample(labels, label, rows=rows))  # at most `rows` ids
-    rows_ = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of("text").alias("text")).join(chosen, "doc_id").select("text", "label")
-    rows_ = written(rows_.repartition(FIT_TASKS), "toxicity-sample").coalesce(FIT_TASKS)
+def ngram_counts(rows: DataFrame) -> DataFrame:
+    """(feature, neg, pos): texts of either class that hold an n-gram, from (text, label). Counts are added up in each task, then by
+    feature; what leaves a task is bounded by the hashed space."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n = np.zeros((2, 1 << BITS), np.int32), [0, 0]
+        seen = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             y = np.array(batch.column(1).to_pylist()) > 0
             at = 0
@@ -109,40 +107,59 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
                 own = y[at : at + size]
                 for c in (0, 1):
                     seen[c] += np.bincount(feature[own[doc] == c], minlength=1 << BITS).astype(np.int32)
-                    n[c] += int((own == c).sum())
                 at += size
-        yield pa.RecordBatch.from_arrays([pa.array([n[0]]), pa.array([n[1]]), pa.array([seen.tobytes()], pa.binary())], names=["neg", "pos", "seen"])
-
-    seen, n = np.zeros((2, 1 << BITS)), np.zeros(2)
-    for r in rows_.mapInArrow(count, "neg long, pos long, seen binary").toLocalIterator():
-        seen += np.frombuffer(r.seen, np.int32).reshape(2, -1)
-        n += (r.neg, r.pos)
-    neg, pos = (seen[0] + 0.5) / (n[0] + 1), (seen[1] + 0.5) / (n[1] + 1)
-    ratio = np.log(pos / neg)
-    both = seen.sum(0)
-    pooled = (both + 1) / (n.sum() + 2)
-    g = sum(k * np.log(np.maximum(p, 1e-12) / pooled) + (m - k) * np.log(np.maximum(1 - p, 1e-12) / np.maximum(1 - pooled, 1e-12)) for k, p, m in ((seen[0], neg, n[0]), (seen[1], pos, n[1])))
-    g[both < 4] = 0
-    features = np.sort(np.argsort(-g, kind="stable")[:FEATURES])
-    features = features[g[features] > 4]
+        some = np.flatnonzero(seen.any(0))
+        for part in np.array_split(some, -(-len(some) // 65_536)) if len(some) else ():
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(seen[0, part]), pa.array(seen[1, part])], names=["feature", "neg", "pos"])
+
+    found = rows.select("text", "label").mapInArrow(count, "feature int, neg int, pos int")
+    return found.groupBy("feature").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+
+
+def chosen_features(counts: DataFrame, neg: int, pos: int, features: int = FEATURES) -> DataFrame:
+    """(feature, ratio) of the n-grams that tell the classes apart most, at most `features`, by the G statistic of their presence.
+
+    ratio: log of the smoothed shares of texts with the n-gram, positive class over negative."""
+    n = neg + pos
+    p_neg, p_pos = (F.col("neg") + 0.5) / F.lit(neg + 1.0), (F.col("pos") + 0.5) / F.lit(pos + 1.0)
+    pooled = (F.col("neg") + F.col("pos") + 1) / F.lit(n + 2.0)
+
+    def part(k: str, p, m: int):
+        return F.col(k) * F.log(p / pooled) + (F.lit(m) - F.col(k)) * F.log(F.greatest(1 - p, F.lit(1e-12)) / F.greatest(1 - pooled, F.lit(1e-12)))
+
+    some = counts.where(F.col("neg") + F.col("pos") >= 4).select("feature", F.log(p_pos / p_neg).alias("ratio"), (part("neg", p_neg, neg) + part("pos", p_pos, pos)).alias("g"))
+    return some.where("g > 4").orderBy(F.desc("g"), "feature").limit(features).select("feature", "ratio")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FIT_ROWS, ridge: float = 1e-4, features: int = FEATURES, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Learns from at most `rows` labelled rows; only their texts and labels are looked at. Of rows that repeat a labelled id the
+    least text counts; rows without id or label are passed over. rows and features bound what the driver fits."""
+    text_batches(docs.sparkSession)
+    chosen = F.broadcast(sample(labels, label, id_col, rows=rows))  # at most `rows` ids
+    found = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).join(chosen, "doc_id")
+    found = written(found.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "toxicity-sample").repartition(FIT_TASKS)
+    n = {r.label > 0: r["count"] for r in found.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
+    picked = sorted((r.feature, r.ratio) for r in chosen_features(ngram_counts(found), n.get(False, 0), n.get(True, 0), features).collect())
+    known, ratio = np.array([f for f, _ in picked], np.int64), np.array([r for _, r in picked])
     keep = np.zeros(1 << BITS, bool)
-    keep[features] = True
+    keep[known] = True
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = []
             for size, doc, feature in present(batch.column(0).to_pylist(), keep):
-                lists += np.split(np.searchsorted(features, feature).astype(np.int32), np.searchsorted(doc, np.arange(1, size)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["label", "features"])
+                own = np.split(np.searchsorted(known, feature).astype(np.int32), np.searchsorted(doc, np.arange(1, size)))
+                lists += [x.tobytes() for x in own]
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.binary())], names=["label", "features"])
 
     y, lists = [], []
-    for r in rows_.mapInArrow(pick, "label int, features array<int>").toLocalIterator():
+    for r in found.select("text", "label").mapInArrow(pick, "label int, features binary").toLocalIterator():  # at most `rows`
         y.append(r.label > 0)
-        lists.append(np.array(r.features, np.int32))
+        lists.append(np.frombuffer(bytes(r.features), np.int32))
     size = [len(x) for x in lists]
     indices = np.concatenate(lists) if lists else np.zeros(0, np.int32)
-    w, bias = _logistic(indices, np.repeat(np.arange(len(lists)), size), ratio[features], np.array(y, float), ridge)
-    return Model(features, w * ratio[features], bias)
+    w, bias = _logistic(indices, np.repeat(np.arange(len(lists)), size), ratio, np.array(y, float), ridge)
+    return Model(known, w * ratio, bias)
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,6 +174,19 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of docs, whole and as often as they come, whose text scores below the threshold. Null is the empty text."""
+    text_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = ["" if x is None else x for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(model.score(text) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = fit(docs, labels.where(fold("doc_id", 4) != 2))
