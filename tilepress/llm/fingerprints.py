@@ -24,7 +24,7 @@ N_SUBSETS = sum(n for n, _ in SUBSETS)
 SHORT = 24
 #: So do texts with fewer terms than that in the band, whatever their length.
 FEW = 8
-_NONE = "----"
+_NONE = "-" * 8
 
 
 def terms(text: Column) -> Column:
@@ -54,10 +54,10 @@ def subset_of(term: Column, seed: int) -> Column:
 
 
 def subset_hashes(entries: Column) -> Column:
-    """From "NN term" strings, one hash of the sorted terms per subset, in order; ---- where there is none."""
+    """From "NN term" strings, 32 bits of a hash of the sorted terms per subset, in order; dashes where there is none."""
     marks = F.array(*[F.lit(f"{k:02d}\t") for k in range(N_SUBSETS)])
     runs = F.slice(F.split(F.array_join(F.array_sort(F.concat(entries, marks)), " "), "[0-9][0-9]\t"), 2, N_SUBSETS)
-    return F.transform(runs, lambda r: F.when(F.trim(r) == "", F.lit(_NONE)).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(F.trim(r))), 16, "0"), 13, 4)))
+    return F.transform(runs, lambda r: F.when(F.trim(r) == "", F.lit(_NONE)).otherwise(F.substring(F.lpad(F.hex(F.xxhash64(F.trim(r))), 16, "0"), 9, 8)))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -67,34 +67,40 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(total == 0, F.lit(0.0)).otherwise(F.floor(total / 1000).cast("double") / (total - F.floor(total / 1000) * 1000))
 
 
-def _bucket(bounds: list[int]) -> Column:
-    """Number of bounds below the id: a two-level search, so that the work per row grows with the root of their number."""
+def _bucket(bounds: list[int], value: Column) -> Column:
+    """Number of bounds below the value: a two-level search, so that the work per row grows with the root of their number."""
     if not bounds:
         return F.lit(0)
     width = max(1, int(len(bounds) ** 0.5))
     upper = bounds[width - 1 :: width]
     parts = [bounds[k * width : (k + 1) * width] for k in range(len(upper) + 1)]
     lists = F.array(*[F.array(*[F.lit(x).cast("long") for x in p]) if p else F.array().cast("array<bigint>") for p in parts])
-    chosen = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in upper]), lambda x: x < F.col("doc_id")))
-    inside = F.size(F.filter(F.element_at(lists, chosen + 1), lambda x: x < F.col("doc_id")))
+    chosen = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in upper]), lambda x: x < value))
+    inside = F.size(F.filter(F.element_at(lists, chosen + 1), lambda x: x < value))
     return F.coalesce(chosen * width + inside, F.lit(0))
 
 
 def with_next(docs: DataFrame, per_partition: int = 4) -> DataFrame:
     """(bucket, rn, guest, doc_id, text, next_text) in descending id, null ids last, after the last the first.
 
-    Rows are dealt by id range; the first row of each range is also a guest behind the range before it, so the follower of
-    every row that is not a guest stands in its own range and no global order is needed.
+    Rows are dealt by id range, those without id by ranges of their texts' first bytes; the first row of each range is also a guest
+    behind the range before it, so the follower of every row that is not a guest stands in its own range and no global order is
+    needed.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark) * per_partition
-    found = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(10_000))).first()[0] if n > 1 else None
-    bounds = sorted(set(found or []))
-    heads = {r.bucket: r.head for r in docs.select(_bucket(bounds).alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}  # one row per range
+    start = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    docs = docs.withColumn("lone", F.when(F.col("doc_id").isNull(), start))  # in the order of the texts
+    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
+    found = docs.select(F.percentile_approx("doc_id", shares, F.lit(10_000)), F.percentile_approx("lone", shares, F.lit(10_000))).first() if n > 1 else ([], [])
+    by_id, by_text = (sorted(set(x or [])) for x in found)
+    own = F.when(F.col("lone").isNull(), _bucket(by_id, F.col("doc_id"))).otherwise(F.lit(-1) - _bucket(by_text, F.col("lone"))).cast("int")
+    firsts = docs.select(own.alias("bucket"), "doc_id", "lone").groupBy("bucket").agg(F.max("doc_id").alias("head"), F.min("lone").alias("head_lone"))
+    heads = {r.bucket: (r.head, r.head_lone) for r in firsts.collect()}  # one row per range
     order = sorted(heads)
-    guests = [(heads[b], order[(i + 1) % len(order)]) for i, b in enumerate(order)]
-    guest_rows = F.broadcast(spark.createDataFrame(guests, "head long, at int"))
-    rows = docs.join(guest_rows, F.col("doc_id").eqNullSafe(F.col("head")), "left").withColumn("own", _bucket(bounds))
+    guests = [(*heads[b], order[(i + 1) % len(order)]) for i, b in enumerate(order)]
+    guest_rows = F.broadcast(spark.createDataFrame(guests, "head long, head_lone long, at int"))
+    rows = docs.join(guest_rows, F.col("doc_id").eqNullSafe(F.col("head")) & F.col("lone").eqNullSafe(F.col("head_lone")), "left").withColumn("own", own)
     places = F.when(F.col("at").isNull(), F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")))).otherwise(
         F.array(F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")), F.struct(F.col("at").alias("bucket"), F.lit(1).alias("guest")))
     )
