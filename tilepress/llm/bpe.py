@@ -1,10 +1,8 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
-A gear rolling hash over the bytes cuts every text where its content says so, moved to the next white space; a chunk that
-has been met before, in whatever document, is not encoded again. A new chunk is put together from its white-space words,
-whose encodings are kept the same way. Chunk joins are repaired: a window of words around the join is re-encoded in one
-piece and compared with the pieces' tokens; while they differ, the window grows. For a tokenizer that drops white space
-before its merges every join agrees at the first comparison by construction, so only pieces not cut at white space need it.
+A gear rolling hash over the bytes cuts every text where its content says so, also inside words; a chunk that has been met
+before, in whatever document, is not encoded again. Where two chunks meet, a window around the cut is encoded in one piece. It
+takes the place of what the chunks hold of it, once it agrees exactly with what stands on either side; until then it grows.
 The store of encoded chunks is per Python worker and bounded in bytes; a chunk met again after it was dropped is encoded anew.
 """
 
@@ -16,6 +14,7 @@ import os
 import re
 import sys
 import types
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,11 +25,11 @@ from tilepress.llm._common import table, text_batches
 from tilepress.llm._text import texts
 
 #: Expected bytes between cuts; a power of two.
-CHUNK_BYTES = 256
+CHUNK_BYTES = 512
 #: Bytes of pieces and of their encodings that a worker keeps.
 STORE_BYTES = 192 << 20
 #: Bytes of a chunk or word that is not kept, as it is unlikely to come again.
-LONGEST_KEPT = 1024
+LONGEST_KEPT = 2048
 _SPACES = bytes(0x20 if b in (0x09, 0x0A, 0x0B, 0x0C, 0x0D) else b for b in range(256))
 _GEAR = np.random.default_rng(31337).integers(0, 2**32, 256, dtype=np.uint32)
 
@@ -87,16 +86,16 @@ class ChunkEncoder:
         self.chunk, self.limit = chunk, store
         self.ids: dict[bytes, bytes] = {}  # of words
         self.decoded: dict[bytes, str] = {}
-        self.chunks: dict[bytes, tuple[bytes, str]] = {}
+        self.chunks: dict[bytes, tuple] = {}
         self.held = self.held_chunks = 0
-        self.reused = self.made = self.repaired = 0
+        self.reused = self.made = self.compared = self.repaired = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _keep_chunk(self, key: bytes, value: tuple[bytes, str]) -> None:
+    def _keep_chunk(self, key: bytes, value: tuple) -> None:
         if len(key) <= LONGEST_KEPT:
-            self.held_chunks += len(key) + len(value[0]) + len(value[1]) + 300
+            self.held_chunks += len(key) + sum(map(len, value)) + 400
             if self.held_chunks > self.limit // 6:
                 self.chunks.clear()
                 self.held_chunks = 0
@@ -147,91 +146,154 @@ class ChunkEncoder:
         return ids, " ".join(map(self.decoded.__getitem__, words))
 
     def pieces(self, data: bytes) -> list[bytes]:
-        """Content-defined chunks: gear cuts moved to the next white space (there is none in data but 0x20)."""
-        out, first = [], 0
-        if len(data) >= 2 * self.chunk:
-            for cut in gear_cuts(data, self.chunk).tolist():
-                if cut <= first:
-                    continue
-                at = data.find(b" ", cut)
-                if at < 0:
-                    break
-                out.append(data[first:at])
-                first = at + 1
-        out.append(data[first:])
-        return out
+        """Content-defined chunks; cuts lie between any two code points."""
+        if len(data) < 2 * self.chunk:
+            return [data]
+        cuts = [0, *(c for c in gear_cuts(data, self.chunk).tolist() if c < len(data) and data[c] & 0xC0 != 0x80), len(data)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
+
+    def _chunk(self, piece: bytes) -> tuple[bytes, bytes, str, bytes]:
+        """What a chunk holds between its first and last white space, encoded, and the parts of words at its ends."""
+        got = self.chunks.get(piece)
+        if got is not None:
+            self.reused += 1
+            return got
+        self.made += 1
+        first, last = piece.find(b" "), piece.rfind(b" ")
+        got = (piece, b"", "", b"") if first < 0 else (piece[:first], *self._words(piece[first:last].split()), piece[last + 1 :])
+        if len(piece) >= self.chunk // 4:
+            self._keep_chunk(piece, got)
+        return got
+
+    def _agree(self, data: bytes, cuts: list[int]) -> bool:
+        """Whether windows around the cuts, encoded in one piece, are the words' own tokens one after the other. A window holds the
+        word at the cut and `reach` words on either side; where it does not agree it grows, at last to the whole text."""
+        reach = 1
+        while cuts:
+            spans: dict[tuple[int, int], int] = {}
+            for cut in cuts:
+                a = b = cut
+                for _ in range(reach + 1):
+                    a = data.rfind(b" ", 0, a) if a > 0 else a
+                    b = data.find(b" ", b + 1) if 0 <= b < len(data) else b
+                spans[max(a, 0), len(data) if b < 0 else b] = cut
+            windows = [data[a:b] for a, b in spans]
+            self.compared += len(windows)
+            again = []
+            for (span, cut), window, e in zip(spans.items(), windows, self.tokenizer.encode_batch([w.decode() for w in windows], add_special_tokens=False), strict=True):
+                if b" ".join([b"%d" % i for i in e.ids]) != self._words(window.split())[0]:
+                    if span == (0, len(data)):
+                        return False
+                    again.append(cut)
+            cuts, reach = again, 4 * reach
+        return True
 
     def encode_texts(self, items: list[bytes]) -> Iterator[tuple[int, bytes, str]]:
         """For each text: number of tokens, its ids in decimal joined by one space, and the decoded text."""
-        if not self.separable:
-            for x in items:
+        for x in items:
+            if not self.separable:
                 ids = self.encode_general(x.decode())
                 yield len(ids), " ".join(map(str, ids)).encode(), self.tokenizer.decode(ids, skip_special_tokens=False)
-            return
-        for x in items:
-            coded, decoded = [], []
-            for piece in self.pieces(x.translate(_SPACES)):
-                got = self.chunks.get(piece)
-                if got is None:
-                    got = self._words(piece.split())
-                    self.made += 1
-                    if len(piece) >= self.chunk // 4:
-                        self._keep_chunk(piece, got)
-                    if len(piece) > 64 * LONGEST_KEPT:  # one unbroken run; not worth its room
-                        self.ids.pop(piece, None), self.decoded.pop(piece, None)
-                else:
-                    self.reused += 1
+                continue
+            data = x.translate(_SPACES)
+            coded, decoded, open_word, at, cuts = [], [], b"", 0, []
+            pieces = self.pieces(data)
+            for k, piece in enumerate(pieces):
+                head, ids, text, tail = self._chunk(piece)
+                at += len(piece)
+                if k + 1 < len(pieces):
+                    cuts.append(at)
+                if head and open_word:
+                    self.repaired += 1  # the cut lies inside a word: neither side's part of it is a word of the text
+                open_word += head
+                if len(head) == len(piece):
+                    continue
+                for got in (self._words([open_word]) if open_word else (b"", ""), (ids, text)):
+                    if got[0]:
+                        coded.append(got[0])
+                        decoded.append(got[1])
+                open_word = tail
+            if open_word:
+                got = self._words([open_word])
                 if got[0]:
                     coded.append(got[0])
                     decoded.append(got[1])
+                if len(open_word) > 64 * LONGEST_KEPT:  # one unbroken run; not worth its room
+                    self.ids.pop(open_word, None), self.decoded.pop(open_word, None)
+            if cuts and not self._agree(data, cuts):  # no window agrees: the whole text in one piece
+                own = self._ids(x.decode())
+                yield len(own), " ".join(map(str, own)).encode(), self.decode(own)
+                continue
             ids = b" ".join(coded)
             yield (ids.count(b" ") + 1 if ids else 0), ids, " ".join(decoded)
 
+    def _located(self, text: str, at: int) -> tuple[list[int], list[int]]:
+        e = self.tokenizer.encode(text, add_special_tokens=False)
+        return e.ids, [at + a for a, _ in e.offsets]
+
     def encode_general(self, text: str) -> list[int]:
         """For any tokenizer: chunks cut by content, encoded once, joins repaired by re-encoding until both sides agree."""
-        data = text.encode()
-        cuts = [0, *(c for c in gear_cuts(data, self.chunk).tolist() if c < len(data) and data[c] & 0xC0 != 0x80), len(data)] if data else [0]
-        parts = [data[a:b].decode() for a, b in zip(cuts, cuts[1:]) if b > a]
-        done, ids = "", []
-        for part in parts:
-            key = b"\0" + part.encode()
-            got = self.chunks.get(key)
+        ids: list[int] = []
+        starts: list[int] = []  # where in the text each token starts
+        at = 0
+        for piece in self.pieces(text.encode()):
+            part = piece.decode()
+            got = self.chunks.get(b"\0" + piece)
             if got is None:
-                new = self._ids(part)
-                self._keep_chunk(key, (b" ".join(b"%d" % i for i in new), ""))
+                own = self._located(part, 0)
+                self._keep_chunk(b"\0" + piece, (np.array(own, np.int32).tobytes(), b""))
+                self.made += 1
             else:
+                own = np.frombuffer(got[0], np.int32).reshape(2, -1).tolist()
                 self.reused += 1
-                new = [int(i) for i in got[0].split()]
-            ids = self._joined(done, ids, part, new)
-            done += part
+            self._join(text, at, at + len(part), ids, starts, own[0], [at + a for a in own[1]])
+            at += len(part)
         return ids
 
-    def _joined(self, left: str, left_ids: list[int], right: str, right_ids: list[int]) -> list[int]:
-        """Re-encodes a window around the join until its first and last tokens are those of the two sides alone, then splices."""
-        if not left:
-            return right_ids
+    def _join(self, text: str, at: int, end: int, ids: list[int], starts: list[int], new: list[int], new_starts: list[int]) -> None:
+        """Appends the tokens of text[at:end] to those of text[:at]. A window around `at` is encoded in one piece; it must hold a run of
+        tokens that are the left side's, at the same places, and later one that is the right side's. Each run is followed to its middle.
+        While there is none, the window grows, up to both sides whole."""
+        if at == 0:
+            ids += new
+            starts += new_starts
+            return
         reach = 16
         while True:
-            a, b = max(0, len(left) - reach), min(len(right), reach)
-            whole_left, whole_right = a == 0, b == len(right)
-            window = self._ids(left[a:] + right[:b])
-            self.repaired += 1
-            if whole_left and whole_right:
-                return window
-            tail = left_ids if whole_left else self._ids(left[a:])
-            head = right_ids if whole_right else self._ids(right[:b])
-            # outside the window nothing may change: each side's part must end or begin the side's own tokens, and the
-            # re-encoded window must agree with it on the outer half
-            ok_left = whole_left or (left_ids[len(left_ids) - len(tail) :] == tail and window[: len(tail) // 2] == tail[: len(tail) // 2] and len(tail) >= 4)
-            ok_right = whole_right or (right_ids[: len(head)] == head and window[len(window) - len(head) // 2 :] == head[len(head) - len(head) // 2 :] and len(head) >= 4)
-            if ok_left and ok_right:
-                return (left_ids[: len(left_ids) - len(tail)] if not whole_left else []) + window + (right_ids[len(head) :] if not whole_right else [])
+            a, b = max(0, at - reach), min(end, at + reach)
+            window, places = self._located(text[a:b], a)
+            self.compared += 1
+            left = bisect_left(starts, a)
+            own = list(zip(starts[left:], ids[left:], strict=True))
+            i = (0, 0) if a == 0 else _common_run(text, list(zip(places, window, strict=True)), own)
+            right = bisect_left(new_starts, b)
+            j = (len(window), right) if b == end else _common_run(text, list(zip(places, window, strict=True)), list(zip(new_starts[:right], new[:right], strict=True)))
+            if i and j and i[0] <= j[0]:
+                self.repaired += (window[i[0] : j[0]], places[i[0] : j[0]]) != (ids[left + i[1] :] + new[: j[1]], starts[left + i[1] :] + new_starts[: j[1]])
+                ids[left + i[1] :] = window[i[0] : j[0]] + new[j[1] :]
+                starts[left + i[1] :] = places[i[0] : j[0]] + new_starts[j[1] :]
+                return
             reach *= 2
 
     def decode(self, ids: list[int]) -> str:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def _common_run(text: str, a: list[tuple[int, int]], b: list[tuple[int, int]]) -> tuple[int, int] | None:
+    """Middle, in a and in b, of the longest run of equal (place, token) in both that covers a white space and four tokens or more."""
+    place = {x: k for k, x in reversed(list(enumerate(b)))}
+    best, k = None, 0
+    while k < len(a):
+        m = place.get(a[k])
+        n = 0
+        while m is not None and k + n < len(a) and m + n < len(b) and a[k + n] == b[m + n]:
+            n += 1
+        if n >= 4 and (best is None or n > best[2]) and any(c.isspace() for c in text[a[k][0] : a[k + n - 1][0] + 1]):
+            best = (k, m, n)
+        k += max(n, 1)
+    return None if best is None else (best[0] + best[2] // 2, best[1] + best[2] // 2)
+
+
 def worker_encoder(path: str, chunk: int) -> ChunkEncoder:
     """The encoder of this Python worker: later tasks find what earlier ones have encoded."""
     held = sys.modules.setdefault("_tilepress_worker", types.ModuleType("_tilepress_worker")).__dict__
