@@ -1,7 +1,7 @@
 """Quality: a sparse ensemble of rules.
 
 Statistics of every text are computed once. Shallow boosted trees over them give paths; each path is a conjunctive rule. A
-lasso logistic fit weighs rules and linear terms; what is left compiles to one Spark column expression.
+lasso logistic fit weighs the rules; what is left compiles to one Spark column expression.
 """
 
 from __future__ import annotations
@@ -82,7 +82,8 @@ def statistics(items: list[bytes]) -> np.ndarray:
 
 
 def text_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and a column for each of STATS; one row per document."""
+    """doc_id and a column for each of STATS; one row per document row. Null ids stay null, repeated rows give repeated rows, an
+    empty table gives none; statistics of null and empty texts are zeros. Other columns are ignored, whatever their names."""
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,9 +192,11 @@ class RuleEnsemble:
 
 
 def fit(stats: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS, penalty: float = 5e-4) -> RuleEnsemble:
-    """Learns from the statistics and labels of at most `rows` labelled rows."""
+    """Learns from the statistics and labels of at most `rows` labelled ids. Of rows that repeat a labelled id the one with the least
+    statistics counts; of repeated labels the larger; rows without id or label are passed over."""
     chosen = F.broadcast(sample(labels, label, rows=rows))  # at most `rows` ids
-    found = stats.join(chosen, "doc_id").select("label", *STATS).orderBy(*STATS, "label").limit(2 * rows).collect()
+    own = stats.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*STATS)).alias("stats"))
+    found = sorted(own.select("label", "stats.*").collect(), key=lambda r: (r[1:], r[0]))  # at most `rows` rows
     y = np.array([r[0] > 0 for r in found], float)
     x = np.array([r[1:] for r in found], float).reshape(len(found), len(STATS))
     rules = tree_rules(x, y)
