@@ -7,7 +7,6 @@ joins the findings back to all documents ("paths") that carry the blob.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -98,9 +97,11 @@ def _read(spark: SparkSession, ledger: str) -> DataFrame | None:
 
 
 def _scan_blobs(base: DataFrame, unseen: DataFrame, rules) -> DataFrame:
-    """Ledger rows of the unseen blobs: fetches one document of each, checks that it still has the blob's digest, scans it."""
-    texts = base.join(unseen.select(F.col("doc_id").alias("want"), "blob", "todo"), F.col("doc_id").eqNullSafe(F.col("want")))
-    texts = texts.where(F.sha2(F.col("text").cast("binary"), 256) == F.col("blob")).select("blob", "todo", "text")
+    """Ledger rows of the unseen blobs: fetches the document of each by id and digest, so ids that repeat or are null meet only their
+    own blob, and scans it."""
+    held = base.withColumn("held", F.sha2(F.col("text").cast("binary"), 256))
+    wanted = unseen.select(F.col("doc_id").alias("want"), "blob", "todo")
+    texts = held.join(wanted, (F.col("held") == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("want"))).select("blob", "todo", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,14 +133,36 @@ def _join_back(paths: DataFrame, entries: DataFrame, rules) -> DataFrame:
     return paths.join(per_blob, "blob", "left").select("doc_id", "blob", *counts, F.coalesce("spans", F.lit("")).alias("spans"))
 
 
-def brute_force(text: str | None) -> tuple[int, int, int, str, str]:
-    """What op7_secrets returns for a text, without ledger, hints or joins; for tests."""
-    found = scan(text or "")
-    spans = ",".join(f"{kind}:{a}:{b}" for a, b, kind in found)
-    n = [sum(x[2] == r.kind for x in found) for r in RULES]
-    return (*n, hashlib.sha256(spans.encode()).hexdigest(), spans)
-
-
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.col("spans").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+def _op7_sql() -> str:
+    """The base kinds in DuckDB: all matches of a kind and the texts between them, whose lengths give the places."""
+    letters = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else f"{c}?" for c in word) for word in ("password", "passwd", "secret", "token", "api_key"))
+    sign = r"""["']?\x20*[:=]\x20*["']?"""
+    kinds = {
+        "assign": (f"(?:{letters}){sign}[A-Za-z0-9+/_.=-]+", f"^(?:{letters}){sign}([A-Za-z0-9+/_.=-]+)$", 8),
+        "access": ("AKIA[A-Z0-9]+", "(.+)", 16),
+        "hex": ("[0-9a-f]+", "(.+)", 32),
+    }
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    parts = []
+    for order, (kind, (pattern, counted, least)) in enumerate(kinds.items()):
+        parts.append(
+            f"""SELECT doc_id, '{kind}' AS kind, {order} AS o, s - length(m) AS a, s AS b FROM (
+            SELECT doc_id, m, sum(length(g) + length(m)) OVER (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS s FROM (
+            SELECT doc_id, generate_subscripts(ms, 1) AS k, unnest(ms) AS m, unnest(gs[1:len(ms)]) AS g FROM (
+            SELECT doc_id, regexp_extract_all(t, {q(pattern)}) AS ms, regexp_split_to_array(t, {q(pattern)}) AS gs FROM d) WHERE len(ms) > 0))
+            WHERE length(regexp_extract(m, {q(counted)}, 1)) >= {least}"""
+        )
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({" UNION ALL ".join(parts)}),
+    g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, o) AS spans FROM f GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g ON d.doc_id = g.doc_id"""
+
+
+#: The same rows in DuckDB.
+OP7_SQL = _op7_sql()
