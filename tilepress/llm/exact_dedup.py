@@ -8,6 +8,9 @@ different texts meet are grouped again by the text itself. Only DataFrame functi
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,18 +69,25 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (null ids come last; of repeated rows with one id a single one stays). Null and empty texts are the empty text and equal
     each other. An empty table gives no rows. Columns besides id and text are ignored, whatever their names.
     digest: text column -> string column, by default sha256. It may collide: hits are decided on the bytes.
-    state_dir: folder of the state; give the same one with new rows to deduplicate against all earlier rows too.
+    state_dir: folder of the state; give the same one with new rows to deduplicate against all earlier rows too. The folder then
+    keeps the texts as well, so that a hit on an earlier row is compared on full bytes.
     """
     spark = docs.sparkSession
     digest = digest or sha256
-    norm = normalised(F.col(text_col))
     try:
-        docs.select("_metadata.file_path")
-        locator = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    except Exception:  # not read from files: the identifier finds the content
-        locator = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    base = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), locator.alias("locator"), norm.alias("norm"))
-    state_dir = state_dir or scratch(spark, "dedup-state")
+        docs.select("_metadata.row_index")
+        keep_texts = state_dir is not None
+    except AnalysisException:  # not read from files: written once, so that every row has a place of its own
+        keep_texts = True
+    state_dir, held = state_dir or scratch(spark, "dedup-state"), docs
+    if keep_texts:
+        home, schema = f"{state_dir}/texts", "doc_id bigint, text string"
+        new = f"{home}/{uuid.uuid4().hex}"
+        docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).write.parquet(new)
+        docs, held = spark.read.schema(schema).parquet(new), spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(home)
+        id_col, text_col = "doc_id", "text"
+    locator = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+    base, held = (x.select(F.col(id_col).cast("bigint").alias("doc_id"), locator.alias("locator"), normalised(F.col(text_col)).alias("norm")) for x in (docs, held))
     staged_rows = base.select(
         digest(F.col("norm")).alias("digest"),
         sha256(F.col("norm")).alias("text_sha256"),
@@ -89,8 +99,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ledger = written(stream_ledger(spark, f"{state_dir}/rows", schema, state_dir, max_bytes), "dedup-ledger")
 
     # full bytes of every hit, fetched by locator; one digest's least and greatest text agree if and only if all do
-    hits = staged.join(ledger.where("group_size > 1").select("digest"), "digest").select("digest", F.col("row.locator").alias("locator")).distinct()
-    fetched = base.select("locator", "norm").join(hits, "locator")
+    hits = staged.join(ledger.where("group_size > 1").select("digest"), "digest").select("digest", F.col("row.locator").alias("locator"))
+    fetched = held.select("locator", "norm").join(hits, "locator")
     checked = fetched.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("differs"))
     checked = written(checked.where("differs"), "dedup-checked")
     clash = bool(checked.take(1))
@@ -110,7 +120,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = plain.select(*fields)
     if clash:  # different texts under one digest: group them by their bytes
         clashing = rows.join(checked.select("digest"), "digest")
-        texts = base.select("locator", "norm", sha256(F.col("norm")).alias("text_sha256"))
+        texts = held.select("locator", "norm", sha256(F.col("norm")).alias("text_sha256"))
         clashing = clashing.withColumn("locator", F.col("row.locator")).join(texts, ["locator", "text_sha256"]).dropDuplicates(["row"])
         groups = clashing.groupBy(F.col("norm").alias("text")).agg(F.min("row").alias("keep"), F.count(F.lit(1)).alias("group_size"))
         out = out.unionByName(clashing.join(groups, F.col("norm") == F.col("text")).select(*fields))
