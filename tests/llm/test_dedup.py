@@ -2,14 +2,13 @@
 
 import hashlib
 import re
-from collections import Counter
 
 import numpy as np
 import pytest
-from conftest_llm import ODD, frame, words
+from conftest_llm import LONG, ODD, frame, words
 from pyspark.sql import functions as F
 
-from tilepress.llm.bpe import gear_cuts
+from tilepress.llm.bpe import _GEAR, gear_cuts
 from tilepress.llm.components import components
 from tilepress.llm.exact_dedup import exact_dedup
 from tilepress.llm.near_dedup import forest, near_dedup
@@ -46,6 +45,21 @@ def test_exact_stream_goes_on(spark, tmp_path):
     assert got[2] == (2, 2, True) and got[5] == (2, 2, False) and got[7] == (7, 1, True)
 
 
+def test_exact_stream_compares_bytes_with_earlier_rows(spark, tmp_path):
+    """Digests collide between runs; null and repeated ids; rows that come from no file."""
+    state, one, two = str(tmp_path / "state"), [(5, "a"), (6, "b"), (None, "c"), (None, "c")], [(2, "a"), (2, "d"), (None, "e"), (7, "c"), (7, "c")]
+    exact_dedup(frame(spark, one), state_dir=state, digest=weak).collect()
+    got = exact_dedup(frame(spark, two), state_dir=state, digest=weak).collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == exact_model(one + two)
+    assert sum(r.kept for r in got) == 5
+
+
+def test_exact_many_rows_without_id(spark):
+    pairs = [(None, f"t{i % 300}") for i in range(900)]
+    got = exact_dedup(frame(spark, pairs)).collect()
+    assert len(got) == 900 and {r.group_size for r in got} == {3} and sum(r.kept for r in got) == 300
+
+
 def shingle_set(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -131,24 +145,61 @@ def test_gear_cuts_do_not_shift():
     assert chunk_ends(b"") == [] and chunk_ends(a)[-1] == len(a)
 
 
-def substring_model(pairs):
-    order = sorted(range(len(pairs)), key=lambda i: (pairs[i][0] is None, pairs[i][0] or 0))
-    seen, gone = set(), Counter()
+def model_chunks(data):
+    """Chunks by the classic loop: a 32-bit gear hash, one byte after the other."""
+    ends, last, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = ((h << 1) + int(_GEAR[b])) & 0xFFFFFFFF
+        if h >> 27:  # the five highest bits: one byte in 32
+            continue
+        cut = i + 1
+        while cut < len(data) and data[cut] & 0xC0 == 0x80:
+            cut += 1
+        if cut - last >= 16 and cut < len(data):
+            ends.append(cut)
+            last = cut
+    return ends + [len(data)] if len(data) > last else ends
+
+
+def substring_model(pairs, least=64):
+    """Per row: chunks, removed chunks, and removed runs; first occurrences by (id, row, position) stay."""
+    order = sorted(range(len(pairs)), key=lambda i: (pairs[i][0] is None, pairs[i][0] or 0, i))
+    seen, out = set(), {}
     for i in order:
-        data, last = (pairs[i][1] or "").encode(), 0
-        for e in chunk_ends(data):
+        data, last, runs = (pairs[i][1] or "").encode(), 0, []
+        ends = model_chunks(data)
+        for e in ends:
             if data[last:e] in seen:
-                gone[pairs[i][0]] += 1
+                if runs and runs[-1][1] == last:
+                    runs[-1] = (runs[-1][0], e, runs[-1][2] + 1)
+                else:
+                    runs.append((last, e, 1))
             seen.add(data[last:e])
             last = e
-    return gone
+        runs = [r for r in runs if r[1] - r[0] >= least]
+        out[i] = (pairs[i][0], len(ends), sum(r[2] for r in runs), sum(r[1] - r[0] for r in runs), ",".join(f"{a}:{b}" for a, b, _ in runs))
+    return sorted(out.values(), key=str)
+
+
+@pytest.mark.parametrize("hot", [1 / 4096, 0.0])
+def test_substrings_against_model(spark, hot):
+    """Every digest is hot where the share is 0."""
+    a, b = words(50, 90, 10_000), words(51, 120, 10_000)
+    pairs = [(i, f"{words(60 + i, 30)} {a if i % 2 else b} {words(90 + i, 20 + i)}") for i in range(30)] + [(40, "na " * 900), (41, "na " * 900), (42, LONG), (None, LONG[:5000]), (43, LONG[2000:9000]), (44, None), (45, ""), (46, "é" * 300)]
+    got = substring_dedup(frame(spark, pairs), hot_share=hot, outputs=True).collect()
+    assert sorted([(r.doc_id, r.n_chunks, r.n_repeated, r.removed_bytes, r.spans) for r in got], key=str) == substring_model(pairs)
+    text = dict(pairs)
+    for r in got:
+        data, left, last = (text[r.doc_id] or "").encode(), b"", 0
+        for x, y in (map(int, z.split(":")) for z in r.spans.split(",") if z):
+            left, last = left + data[last:x], y
+        assert r.text.encode() == left + data[last:]
 
 
 def test_substrings(spark, odd):
     passage = words(5, 80, 10_000)
     pairs = [(1, words(6, 100) + " " + passage + " " + words(7, 100)), (2, words(8, 50) + " x " + passage + " y " + words(9, 60)), (3, words(10, 90)), (4, None), (5, "é" * 300)]
     got = {r.doc_id: r for r in substring_dedup(frame(spark, pairs), outputs=True).collect()}
-    assert {d: r.n_repeated for d, r in got.items() if r.n_repeated} == dict(substring_model(pairs))
     assert got[1].removed_bytes == got[3].removed_bytes == got[5].removed_bytes == 0 and got[2].removed_bytes > 0.5 * len(passage)
     data = pairs[1][1].encode()
     cut = b"".join(data[a:b] for a, b in (map(int, s.split(":")) for s in got[2].spans.split(",")))

@@ -37,6 +37,66 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.fit(docs, labels.where("false")).score(["x", ""]) == pytest.approx([0.5, 0.5])
 
 
+def test_toxicity_on_labels(spark):
+    """Labelled rows of the held-out fold: F1 at the operator's own threshold, and the area under the curve."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels.where(fold("doc_id", 4) != 2))
+    held = docs.join(labels.where(fold("doc_id", 4) == 2), "doc_id")
+    rows = toxicity.toxicity(held, model).join(labels, "doc_id").select("score", "toxic").collect()
+    y, s = np.array([r.toxic for r in rows]), np.array([r.score for r in rows])
+    hit = ((s >= 0.3) & (y == 1)).sum()
+    assert 2 * hit / ((s >= 0.3).sum() + (y == 1).sum()) >= 0.8
+    assert np.mean([(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]]) >= 0.95
+
+
+def test_toxicity_counts(spark):
+    """Texts of either class that hold each n-gram, and the choice by the G statistic, counted anew."""
+    from collections import Counter
+    from math import log
+
+    rows = [("abcd", 1), ("abce", 1), ("abcd", 0), ("xyz", 0), ("xyzabc", 0), ("", 1), ("abcabc", 1)]
+    counts = toxicity.ngram_counts(spark.createDataFrame(rows, "text string, label int"))
+    got = {r.feature: (r.neg, r.pos) for r in counts.collect()}
+    want = Counter()
+    for t, y in rows:
+        for g in set(next(toxicity.present([t]))[2].tolist()):
+            want[g, y] += 1
+    assert got == {g: (want[g, 0], want[g, 1]) for g, _ in want}
+
+    def g_statistic(neg, pos):
+        part = lambda k, p, m, q: k * log(p / q) + (m - k) * log((1 - p) / (1 - q))
+        q = (neg + pos + 1) / 202
+        return part(neg, (neg + 0.5) / 101, 100, q) + part(pos, (pos + 0.5) / 101, 100, q)
+
+    made = {i: (i, 60 - i) for i in range(60)}
+    table = spark.createDataFrame([(f, *c) for f, c in made.items()], "feature int, neg int, pos int")
+    best = sorted((f for f in made if g_statistic(*made[f]) > 4), key=lambda f: (-round(g_statistic(*made[f]), 9), f))[:20]
+    chosen = {r.feature: r.ratio for r in toxicity.chosen_features(table, 100, 100, 20).collect()}
+    assert set(chosen) == set(best) and all(chosen[f] == pytest.approx(log((made[f][1] + 0.5) / (made[f][0] + 0.5))) for f in best)
+
+
+def test_fits_take_one_row_of_a_repeated_id(spark):
+    """More labelled rows than the bound, all of one id: none of the other ids is cut away."""
+    docs, labels = labelled(spark, 60)
+    many = docs.select("doc_id", "text").unionByName(spark.range(500).selectExpr("0L as doc_id", "concat('zz repeated row ', id) as text"))
+    model = toxicity.fit(many, labels, rows=60)
+    assert [model.score([t])[0] >= 0.3 for t in ("x vilestemer y", "plain words here")] == [True, False]
+    stats = quality.text_statistics(many)
+    one = quality.fit(stats, labels.withColumnRenamed("toxic", "quality"), rows=60)
+    assert one == quality.fit(quality.text_statistics(many.repartition(5)), labels.withColumnRenamed("toxic", "quality"), rows=60)
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tilepress.llm._common import shared_dir
+
+    for master in ("local-cluster[3,2,1024]", "spark://host:7077", "yarn"):
+        with pytest.raises(ValueError):
+            shared_dir(SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: None)))
+
+
 def test_scores_do_not_see_neighbours():
     model = toxicity.Model(np.arange(1 << toxicity.BITS)[::7], np.ones(len(range(0, 1 << toxicity.BITS, 7))) * 0.01, -1.0)
     some = [t or "" for _, t in ODD]
