@@ -1,8 +1,7 @@
 """Two-bit codes in super-blocks of 256 with sixteen affine sub-blocks.
 
-The fast variant takes minimum and range of a sub-block and is column expressions throughout. The searching variants fit
-scale and minimum in float32 steps whose outcome feeds the next step; those run in NumPy, all sub-blocks of a batch at once,
-and only for the fit: the rest is shared with the fast variant.
+The searching variants fit scale and minimum in float32 steps whose outcome feeds the next step. Fits and codes run in NumPy over
+Arrow batches, all sub-blocks of a batch at once; decoding is column expressions.
 """
 
 from __future__ import annotations
@@ -20,21 +19,10 @@ SUPER, SUB = 256, 16
 _F = np.float32
 
 
-def padded(blocks: DataFrame, column: str = "vals") -> DataFrame:
-    """Short last blocks are filled with zeros, which take part in the fit; n keeps the true length."""
-    full = F.transform(F.sequence(F.lit(0), F.lit(SUPER - 1)), lambda i: F.coalesce(F.get(column, i), fl.f32(0)))
-    return blocks.withColumn("n", F.size(column)).withColumn(column, full)
-
-
-def _subs(column: str = "vals") -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(SUPER // SUB - 1)), lambda j: F.slice(column, j * SUB + 1, SUB))
-
-
-def fast_fit(blocks: DataFrame) -> DataFrame:
-    """Adds scales and mins: a third of the range, and the minimum, of each sub-block."""
-    found = blocks.withColumn("subs", _subs()).withColumn("mins", F.transform("subs", lambda s: F.array_min(s)))
-    scales = F.transform("subs", lambda s: fl.let(F.array_min(s), lambda m: fl.div(F.array_max(F.transform(s, lambda v: v - m)), 3.0)))
-    return found.withColumn("scales", scales).drop("subs")
+def fast_fit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A third of the range, and the minimum, of each row of 16."""
+    low = np.fmin.reduce(x, 1)
+    return np.fmax.reduce(x - low[:, None], 1) / _F(3), low
 
 
 def search(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,51 +68,62 @@ def search(x: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(flat, _F(0), scale).astype(_F), low.astype(_F)
 
 
-def search_fit(blocks: DataFrame, weights: str | None = None) -> DataFrame:
-    """Adds scales and mins by `search`; weights is an array column of importances, by default the magnitudes."""
-    columns = [c for c in blocks.columns]
-    at, by = columns.index("vals"), columns.index(weights) if weights else None
+def quantize(x: np.ndarray, scales: np.ndarray, mins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Super scale and minimum as half-precision bits, a byte per sub-block (low nibble its scale, high nibble its signed minimum),
+    and codes 0..3 against the rounded scale and minimum, of super-blocks of 256 in rows. float32 throughout."""
+    n = len(x)
+    scales, mins = scales.reshape(n, -1), mins.reshape(n, -1)
+    top, top_min = np.fmax.reduce(scales, 1), np.fmax.reduce(np.abs(mins), 1)
+    super_scale, super_min = (np.where(t > 0, t / _F(most), _F(0)).astype(np.float16) for t, most in ((top, 15), (top_min, 7)))
+    some, some_min = (top > 0)[:, None], (top_min > 0)[:, None]
+    low = np.where(some, np.nan_to_num(np.rint((_F(15) / top)[:, None] * scales)), 0).astype(np.int64) & 255
+    high = np.where(some_min, np.clip(np.nan_to_num(np.rint((_F(7) / top_min)[:, None] * mins)), -8, 7), 0).astype(np.int64)
+    scale_codes = low | ((high & 15) << 4)
+    sub_scale = super_scale.astype(_F)[:, None] * (low & 15).astype(_F)
+    sub_min = super_min.astype(_F)[:, None] * high.astype(_F)
+    parts = x.reshape(n, -1, SUB)
+    near = np.rint((parts - sub_min[:, :, None]) / sub_scale[:, :, None])
+    codes = np.where(sub_scale[:, :, None] > 0, np.clip(np.nan_to_num(near), 0, 3), 0).astype(np.int32).reshape(n, -1)
+    return super_scale.view(np.uint16).astype(np.int32), super_min.view(np.uint16).astype(np.int32), scale_codes.astype(np.int32), codes
+
+
+def _filled(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 256, short ones filled with zeros, and the rows' own lengths."""
+    size = np.diff(column.offsets.to_numpy())
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(_F)
+    out = np.zeros((len(size), SUPER), _F)
+    out[np.arange(SUPER)[None] < size[:, None]] = values
+    return out, size
+
+
+def encode(blocks: DataFrame, method: str = "q2_k", weights: str | None = None) -> DataFrame:
+    """(block_id, n, super_scale, super_min, scale_codes, codes) of blocks of at most 256 values; short ones are filled with zeros,
+    which take part in the fit, and n keeps the true length.
+
+    method: q2_k (magnitudes as weights), q2_k_importance (weights from an array column) or q2_k_fast. Fit and codes of all
+    sub-blocks of a batch are worked out at once; no rows move.
+    """
+    if method == "q2_k_importance" and weights is None:
+        raise ValueError("q2_k_importance needs a column of weights")
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = batch.column(at).flatten().to_numpy(zero_copy_only=False).astype(_F).reshape(-1, SUB)
-            w = np.abs(x) if by is None else batch.column(by).flatten().to_numpy(zero_copy_only=False).astype(_F).reshape(-1, SUB)
-            scale, low = search(x, w)
-            offsets = pa.array(np.arange(0, len(scale) + 1, SUPER // SUB, dtype=np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(v)) for v in (scale, low)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *lists], names=[*columns, "scales", "mins"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema.fields)
-    return blocks.mapInArrow(fit, f"{schema}, scales array<float>, mins array<float>")
-
-
-def quantize(fitted: DataFrame) -> DataFrame:
-    """(block_id, n, super_scale, super_min, scale_codes, codes): half-precision super values, a nibble each per sub-block for
-    scale (low) and signed minimum (high), and codes 0..3 against the rounded scale and minimum."""
-    top = F.array_max("scales")
-    top_min = F.array_max(F.transform("mins", lambda m: F.abs(m)))
-    s = fitted.withColumn("top", top).withColumn("top_min", top_min)
-    s = s.withColumn("super_scale", F.when(F.col("top") > 0, fl.fp16_encode(fl.div(F.col("top"), 15.0))).otherwise(0))
-    s = s.withColumn("super_min", F.when(F.col("top_min") > 0, fl.fp16_encode(fl.div(F.col("top_min"), 7.0))).otherwise(0))
-    s = s.withColumn("inv", fl.div(15.0, F.col("top"))).withColumn("inv_min", fl.div(7.0, F.col("top_min")))
-
-    def nibbles(r: Column, scale: Column, j: Column) -> Column:
-        low = F.when(r["top"] > 0, F.rint(r["inv"] * scale).cast("int").bitwiseAND(F.lit(255))).otherwise(0)
-        m = F.when(r["top_min"] > 0, F.greatest(F.least(F.rint(r["inv_min"] * F.get("mins", j)), F.lit(7.0)), F.lit(-8.0))).otherwise(0.0).cast("int")
-        return low.bitwiseOR(F.shiftleft(m.bitwiseAND(F.lit(15)), 4))
-
-    s = s.withColumn("scale_codes", fl.let(F.struct("top", "top_min", "inv", "inv_min"), lambda r: F.transform("scales", lambda x, j: nibbles(r, x, j))))
-    s = _with_affine(s)
-
-    def code(r: Column, v: Column, i: Column) -> Column:
-        j = F.shiftright(i, 4)
-        x = fl.let(F.struct((v - F.get(r["sub_mins"], j)).alias("a"), F.get(r["sub_scales"], j).alias("b")), lambda p: F.when(p["b"] > 0, F.rint((p["a"] / p["b"]).cast("float"))).otherwise(0.0))
-        return F.greatest(F.least(x, F.lit(3.0)), F.lit(0.0)).cast("int")
-
-    codes = fl.let(F.struct("sub_scales", "sub_mins"), lambda r: F.transform("vals", lambda v, i: code(r, v, i)))
-    return s.select("block_id", "n", "super_scale", "super_min", "scale_codes", codes.alias("codes"))
+            x, size = _filled(batch.column(1))
+            flat = x.reshape(-1, SUB)
+            with np.errstate(all="ignore"):
+                if method == "q2_k_fast" and weights is None:
+                    fitted = fast_fit(flat)
+                else:
+                    fitted = search(flat, np.abs(flat) if weights is None else _filled(batch.column(2))[0].reshape(-1, SUB))
+                super_scale, super_min, scale_codes, codes = quantize(x, *fitted)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel())) for v in (scale_codes, codes)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), pa.array(super_scale), pa.array(super_min), *lists], names=["block_id", "n", "super_scale", "super_min", "scale_codes", "codes"])
+
+    columns = ["block_id", F.col("vals").cast("array<float>").alias("vals"), *([F.col(weights).cast("array<float>").alias("weights")] if weights else [])]
+    kind = blocks.schema["block_id"].dataType.simpleString()
+    return blocks.select(*columns).mapInArrow(run, f"block_id {kind}, n int, super_scale int, super_min int, scale_codes array<int>, codes array<int>")
 
 
 def _with_affine(coded: DataFrame) -> DataFrame:
@@ -137,17 +136,6 @@ def _with_affine(coded: DataFrame) -> DataFrame:
     return coded.withColumn("sub_scales", scales).withColumn("sub_mins", mins)
 
 
-def encode(blocks: DataFrame, method: str = "q2_k", weights: str | None = None) -> DataFrame:
-    """method: q2_k (magnitudes as weights), q2_k_importance (weights from an array column) or q2_k_fast. Blocks of 256."""
-    if method == "q2_k_importance" and weights is None:
-        raise ValueError("q2_k_importance needs a column of weights")
-    full = padded(blocks)
-    if weights:
-        keep = full.withColumn(weights, F.transform(F.sequence(F.lit(0), F.lit(SUPER - 1)), lambda i: F.coalesce(F.get(weights, i), fl.f32(0))))
-        return quantize(search_fit(keep, weights))
-    return quantize(fast_fit(full) if method == "q2_k_fast" else search_fit(full))
-
-
 def decode(coded: DataFrame) -> DataFrame:
     """(block_id, vals), of the true length."""
 

@@ -17,8 +17,7 @@ from pyspark.sql import functions as F
 
 from tilepress.functions import sizes
 from tilepress.operators import blocks as bl
-from tilepress.operators import lowrank, topk
-from tilepress.operators.codecs import CODECS
+from tilepress.operators import kernels, lowrank, topk
 
 FORMATS = ("NONE", "NF4", "NF4_DQ")
 #: Below or at this magnitude a residual counts as zero: the float32 epsilon.
@@ -107,13 +106,13 @@ def _flat_blocks(wide: DataFrame, columns: int) -> DataFrame:
 
 def _encode(wide: DataFrame, columns: int, storage: str) -> DataFrame:
     """Section rows of a wide matrix: raw rows, or codes of its flattened blocks."""
-    return wide.select("row", F.col("vec").cast("array<float>").alias("vec")) if storage == "FP32" else CODECS[storage.lower()].encode(_flat_blocks(wide, columns))
+    return wide.select("row", F.col("vec").cast("array<float>").alias("vec")) if storage == "FP32" else kernels.encode(_flat_blocks(wide, columns), storage.lower())
 
 
 def _decode(section: DataFrame, columns: int, storage: str) -> DataFrame:
     if storage == "FP32":
         return section
-    blocks = CODECS[storage.lower()].decode(section)
+    blocks = kernels.decode(section, storage.lower())
     if columns % 64 == 0:  # rows hold whole blocks: gather them by row
         per = columns // 64
         ordered = F.array_sort(F.collect_list(F.struct("block_id", "vals")))

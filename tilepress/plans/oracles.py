@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+
 from tilepress.functions.floats import E2M1_LEVELS, NF4_LEVELS
 
 EMB = "emb AS (SELECT vec_id * 64 + i AS idx, CAST(x AS FLOAT) AS v FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding) AS x FROM embeddings))"
@@ -126,13 +128,15 @@ def packed(codec: str) -> str:
     return f"{_coded(codec, 'events')}, h AS (SELECT block_id, count(*) AS n, string_agg({digits}, '' ORDER BY idx) AS d FROM coded GROUP BY block_id) SELECT block_id, CAST(n AS INTEGER) AS n, CASE WHEN n % 2 = 1 THEN d || '0' ELSE d END AS data FROM h"
 
 
-def q2_k_fast(decoded: bool) -> str:
+_GRID = f"""{EVENTS}, last AS (SELECT max(idx) AS m FROM ev), grid AS (SELECT unnest(range(0, (m // 256 + 1) * 256)) AS idx FROM last),
+    p AS (SELECT g.idx, coalesce(v, 0::FLOAT) AS v, v IS NOT NULL AS real FROM grid g LEFT JOIN ev ON g.idx = ev.idx)"""
+
+
+def _q2_k_tail(decoded: bool) -> str:
+    """From b (idx, v, real, and low and scale of the sub-block) to codes or values."""
     f16, f16v = small_float, small_float_value
     tail = "SELECT idx, CAST(v AS DOUBLE) AS v, CAST(CAST(sub_min + CAST(sub_scale * CAST(code AS FLOAT) AS FLOAT) AS FLOAT) AS DOUBLE) AS decoded FROM f WHERE real" if decoded else "SELECT idx, super_scale, super_min, scale_code, code FROM f WHERE real"
-    return f"""WITH {EVENTS}, last AS (SELECT max(idx) AS m FROM ev), grid AS (SELECT unnest(range(0, (m // 256 + 1) * 256)) AS idx FROM last),
-    p AS (SELECT g.idx, coalesce(v, 0::FLOAT) AS v, v IS NOT NULL AS real FROM grid g LEFT JOIN ev ON g.idx = ev.idx),
-    a AS (SELECT *, min(v) OVER (PARTITION BY idx // 16) AS low FROM p), b AS (SELECT *, CAST(max(CAST(v - low AS FLOAT)) OVER (PARTITION BY idx // 16) / 3::FLOAT AS FLOAT) AS scale FROM a),
-    c AS (SELECT *, max(scale) OVER (PARTITION BY idx // 256) AS top, max(abs(low)) OVER (PARTITION BY idx // 256) AS top_min FROM b),
+    return f"""c AS (SELECT *, max(scale) OVER (PARTITION BY idx // 256) AS top, max(abs(low)) OVER (PARTITION BY idx // 256) AS top_min FROM b),
     c2 AS (SELECT *, CAST(top / 15::FLOAT AS FLOAT) AS s15, CAST(top_min / 7::FLOAT AS FLOAT) AS m7 FROM c),
     d AS (SELECT *, CASE WHEN top > 0 THEN {f16("s15", 5, 10)} ELSE 0 END AS super_scale, CASE WHEN top_min > 0 THEN {f16("m7", 5, 10)} ELSE 0 END AS super_min,
       CASE WHEN top > 0 THEN CAST(round_even(CAST(CAST(15::FLOAT / top AS FLOAT) * scale AS FLOAT), 0) AS INTEGER) ELSE 0 END AS sl,
@@ -141,6 +145,41 @@ def q2_k_fast(decoded: bool) -> str:
     f AS (SELECT *, CASE WHEN sub_scale > 0 THEN CAST(greatest(least(round_even(CAST(CAST(v - sub_min AS FLOAT) / sub_scale AS FLOAT), 0), 3), 0) AS INTEGER) ELSE 0 END AS code FROM e) {tail}"""
 
 
+def q2_k_fast(decoded: bool) -> str:
+    return f"""WITH {_GRID}, a AS (SELECT *, min(v) OVER (PARTITION BY idx // 16) AS low FROM p),
+    b AS (SELECT *, CAST(max(CAST(v - low AS FLOAT)) OVER (PARTITION BY idx // 16) / 3::FLOAT AS FLOAT) AS scale FROM a), {_q2_k_tail(decoded)}"""
+
+
+def q2_k_search(decoded: bool, weight: str = "abs(v)") -> str:
+    """The search over one plain and sixteen least-squares candidates as a recursive query, one round for each candidate; sums are
+    float32 from the first element on. weight: of a value v that is not filling."""
+
+    def total(term: str) -> str:
+        return f"list_reduce(list_transform(range(1, 17), lambda i: CAST({term} AS FLOAT)), lambda a, b: CAST(a + b AS FLOAT))"
+
+    def codes(inverse: str) -> str:
+        return f"list_transform(x, lambda e: CAST(greatest(least(round_even(CAST({inverse} * CAST(e - low AS FLOAT) AS FLOAT), 0), 3), 0) AS FLOAT))"
+
+    def error(scale: str, low: str) -> str:
+        return total(f"w[i] * abs(CAST(CAST(CAST({scale} * c[i] AS FLOAT) + {low} AS FLOAT) - x[i] AS FLOAT))")
+
+    f = np.float32
+    steps = "[" + ", ".join(repr(float(f(f(f(-0.5) + f(f(0.1) * f(k))) + f(3)))) for k in range(16)) + "]::FLOAT[]"
+    minus = lambda a, b, c, d: f"CAST(CAST({a} * {b} AS FLOAT) - CAST({c} * {d} AS FLOAT) AS FLOAT)"
+    return f"""WITH RECURSIVE {_GRID}, l AS (SELECT idx // 16 AS sub, list(v ORDER BY idx) AS x, list(CAST(CASE WHEN real THEN {weight} ELSE 0 END AS FLOAT) ORDER BY idx) AS w FROM p GROUP BY 1),
+    l1 AS (SELECT *, {total("w[i]")} AS sw, {total("w[i] * x[i]")} AS sx, least(list_min(x), 0::FLOAT) AS low, list_max(x) AS high FROM l),
+    l2 AS (SELECT *, high = low AS flat, CASE WHEN high = low THEN 1::FLOAT ELSE CAST(3::FLOAT / CAST(high - low AS FLOAT) AS FLOAT) END AS inv FROM l1),
+    l3 AS (SELECT *, CAST(1::FLOAT / inv AS FLOAT) AS scale, {codes("inv")} AS c FROM l2),
+    s AS (SELECT sub, x, w, sw, sx, high, flat, low, scale, {error("scale", "low")} AS best, 0 AS step FROM l3 UNION ALL
+      SELECT sub, x, w, sw, sx, high, flat, CASE WHEN better THEN new_low ELSE low END, CASE WHEN better THEN new_scale ELSE scale END, CASE WHEN better THEN err ELSE best END, step + 1 FROM (
+        SELECT *, NOT flat AND det > 0 AND err < best AS better FROM (SELECT *, {error("new_scale", "new_low")} AS err FROM (
+        SELECT * EXCLUDE (ns, nl), CASE WHEN nl > 0 THEN CAST(lx / l2 AS FLOAT) ELSE ns END AS new_scale, CASE WHEN nl > 0 THEN 0::FLOAT ELSE nl END AS new_low FROM (
+        SELECT *, CASE WHEN det > 0 THEN CAST({minus("sw", "lx", "sx", "l1")} / det AS FLOAT) ELSE 0 END AS ns, CASE WHEN det > 0 THEN CAST({minus("l2", "sx", "l1", "lx")} / det AS FLOAT) ELSE 0 END AS nl FROM (
+        SELECT *, {minus("sw", "l2", "l1", "l1")} AS det FROM (SELECT *, {total("w[i] * c[i]")} AS l1, {total("CAST(w[i] * c[i] AS FLOAT) * c[i]")} AS l2, {total("CAST(w[i] * c[i] AS FLOAT) * x[i]")} AS lx FROM (
+        SELECT *, {codes("inv")} AS c FROM (SELECT *, CASE WHEN high > low THEN CAST(list_extract({steps}, step + 1) / CAST(high - low AS FLOAT) AS FLOAT) ELSE 0::FLOAT END AS inv FROM s WHERE step < 16)))))))) t),
+    b AS (SELECT p.*, s.low, CASE WHEN s.flat THEN 0::FLOAT ELSE s.scale END AS scale FROM p JOIN s ON p.idx // 16 = s.sub AND s.step = 16), {_q2_k_tail(decoded)}"""
+
+
 LONG = "m AS (SELECT CAST(vec_id AS INTEGER) AS row, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS col, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings)"
 RANKED = f"WITH {LONG}, r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY CASE WHEN isnan(v) THEN '-inf'::FLOAT ELSE abs(v) END DESC, col) AS rank FROM m)"
 

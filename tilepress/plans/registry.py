@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tilepress.functions import floats as fl
 from tilepress.functions import sizes
 from tilepress.operators import blocks as bl
-from tilepress.operators import lowrank, metrics, q2k, topk
+from tilepress.operators import kernels, lowrank, metrics, q2k, topk
 from tilepress.operators.codecs import CODECS
 from tilepress.plans import oracles
 from tilepress.plans.compress import CompressConfig, DecompressConfig, compress, decompress
@@ -40,10 +40,13 @@ def _cells(wide: DataFrame) -> DataFrame:
     return _wide(bl.to_long(wide))
 
 
-def codes(name: str) -> Query:
+def codes(name: str, native: bool = False) -> Query:
+    """By the Arrow kernels, or natively by column expressions."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec = CODECS[name]
-        coded = codec.encode(bl.matrix_blocks(embeddings(spark, sf_dir), COLUMNS, codec.size))
+        blocks = bl.matrix_blocks(embeddings(spark, sf_dir), COLUMNS, codec.size)
+        coded = codec.encode(blocks) if native else kernels.encode(blocks, name)
         out = coded.select("block_id", *codec.kept, F.posexplode("codes").alias("pos", "code"))
         return _wide(out.select((F.col("block_id") * codec.size + F.col("pos")).alias("idx"), "block_id", *codec.kept, F.col("code").cast("int").alias("code")))
 
@@ -58,7 +61,7 @@ def _pairs(done: DataFrame, size: int) -> DataFrame:
 def roundtrip(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec = CODECS[name]
-        return _wide(_pairs(codec.roundtrip(bl.vector_blocks(events(spark, sf_dir), codec.size)), codec.size))
+        return _wide(_pairs(kernels.roundtrip(bl.vector_blocks(events(spark, sf_dir), codec.size), name), codec.size))
 
     return query
 
@@ -66,7 +69,7 @@ def roundtrip(name: str) -> Query:
 def errors(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec = CODECS[name]
-        found = metrics.measure_blocks(codec.roundtrip(bl.vector_blocks(events(spark, sf_dir), codec.size)))
+        found = metrics.measure_blocks(kernels.roundtrip(bl.vector_blocks(events(spark, sf_dir), codec.size), name))
         return found.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "max_abs")])
 
     return query
@@ -75,7 +78,7 @@ def errors(name: str) -> Query:
 def packed(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         codec = CODECS[name]
-        rows = packing.pack_blocks(codec.encode(bl.vector_blocks(events(spark, sf_dir), codec.size)), name)
+        rows = packing.pack_blocks(kernels.encode(bl.vector_blocks(events(spark, sf_dir), codec.size), name), name)
         return rows.select("block_id", "n", F.hex("data").alias("data"))
 
     return query
@@ -198,13 +201,14 @@ def ramp(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nf4_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """NF4 over the embedding matrix: per row its error, and the matrix's sizes."""
     codec = CODECS["nf4"]
-    done = codec.roundtrip(bl.matrix_blocks(embeddings(spark, sf_dir), COLUMNS, codec.size))
+    done = kernels.roundtrip(bl.matrix_blocks(embeddings(spark, sf_dir), COLUMNS, codec.size), "nf4")
     pairs = done.select("block_id", F.explode(F.arrays_zip("vals", "decoded")).alias("p")).select("block_id", (F.col("p.vals").cast("double") - F.col("p.decoded").cast("double")).alias("d"))
     return pairs.groupBy("block_id").agg(F.round(F.avg(F.abs("d")), 6).alias("mae"), F.round(F.max(F.abs("d")), 6).alias("max_abs"))
 
 
 QUERIES: dict[str, Query] = {
     **{f"{c}_codes": codes(c) for c in CODECS},
+    **{f"{c}_codes_native": codes(c, True) for c in ("nf4", "nf4_dq", "q8_0", "bf16", "mxfp8", "nvfp4")},
     **{f"{c}_roundtrip": roundtrip(c) for c in CODECS},
     **{f"{c}_metrics": errors(c) for c in CODECS},
     **{f"{c}_packed": packed(c) for c in ("fp4", "mxfp4", "nvfp4", "nf4", "nf4_dq")},
@@ -237,11 +241,15 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     **{f"{c}_codes": oracles.codes(c) for c in CODECS},
+    **{f"{c}_codes_native": oracles.codes(c) for c in ("nf4", "nf4_dq", "q8_0", "bf16", "mxfp8", "nvfp4")},
     **{f"{c}_roundtrip": oracles.roundtrip(c) for c in CODECS},
     **{f"{c}_metrics": oracles.metrics(c) for c in CODECS},
     **{f"{c}_packed": oracles.packed(c) for c in ("fp4", "mxfp4", "nvfp4", "nf4", "nf4_dq")},
     "q2_k_fast_codes": oracles.q2_k_fast(False),
     "q2_k_fast_roundtrip": oracles.q2_k_fast(True),
+    "q2_k_codes": oracles.q2_k_search(False),
+    "q2_k_roundtrip": oracles.q2_k_search(True),
+    "q2_k_importance_codes": oracles.q2_k_search(False, "CAST(abs(v) + 1::FLOAT AS FLOAT)"),
     "e4m3_values": oracles.E4M3,
     "e2m1_values": oracles.E2M1,
     **{f"topk_{k}": oracles.topk(k, K) for k in ("extract", "separate", "decompress", "apply", "roundtrip")},
