@@ -128,29 +128,69 @@ def packed(codec: str) -> str:
     return f"{_coded(codec, 'events')}, h AS (SELECT block_id, count(*) AS n, string_agg({digits}, '' ORDER BY idx) AS d FROM coded GROUP BY block_id) SELECT block_id, CAST(n AS INTEGER) AS n, CASE WHEN n % 2 = 1 THEN d || '0' ELSE d END AS data FROM h"
 
 
+def _le(x: str, width: int) -> str:
+    """Hexadecimal of a non-negative integer of `width` bytes, the low byte first."""
+    return "(" + " || ".join(f"printf('%02X', CAST(({x}) // {256**k} % 256 AS INTEGER))" for k in range(width)) + ")"
+
+
+def _float_bits(c: str) -> str:
+    return _le(small_float(c, 8, 23), 4)
+
+
+#: Method number, block size, bytes of a block's scale, bits of a code and tensor-wide column of each flat codec.
+_BUFFER = {
+    "q8_0": (0, 32, 4, 8, None), "q4_0": (1, 32, 4, 4, None), "bf16": (3, 256, 0, 16, None), "fp16": (4, 256, 0, 16, None), "fp8": (5, 256, 0, 8, "scale"), "fp4": (6, 256, 0, 4, "scale"),
+    "mxfp8": (7, 32, 1, 8, None), "mxfp4": (8, 32, 1, 4, None), "nvfp4": (9, 16, 1, 4, "tensor_scale"), "nf4_dq": (10, 64, 1, 4, "dq_scale"), "nf4": (11, 64, 4, 4, None),
+}
+
+
+def buffer(codec: str) -> str:
+    """The segments of a flat codec's buffer over the event values: offset and hexadecimal of header, scales and data of each block."""
+    method, size, width, bits, tensor = _BUFFER[codec]
+    blocks = f"((n + {size - 1}) // {size})"
+    counts = {"bf16": [], "fp16": [], "fp8": [], "fp4": []}.get(codec, [blocks, str(size)])
+    pointers = 1 if bits == 16 or codec in ("fp8", "fp4") else 2
+    struct = " || ".join([_le("n", 8), *(_le(x, 8) for x in counts), *([_float_bits("t"), "'00000000'"] if tensor else []), f"repeat('00', {8 * pointers})"])
+    head = 24 + {True: 16, False: 8 + (8 * len(counts)) + 8 * pointers + (8 if tensor else 0)}[bits == 16]
+    digit = "substr('0123456789ABCDEF', CAST((code + 16) % 16 AS INTEGER) + 1, 1)"
+    one = {4: digit, 8: _le("(code + 256) % 256", 1), 16: _le("code", 2)}[bits]
+    data = "CASE WHEN n % 2 = 1 THEN d || '0' ELSE d END" if bits == 4 else "d"
+    scale = {0: "''", 1: _le("(any_value(exponent) + 256) % 256" if codec.startswith("mx") else "any_value(scale_code)", 1), 4: _float_bits("any_value(scale)")}[width]
+    scales = f"UNION ALL SELECT CAST({head} + block_id * {width} AS BIGINT), s FROM cut" if width else ""
+    return f"""{_coded(codec, "events")}, whole AS (SELECT count(*) AS n, {f"any_value({tensor})" if tensor else "0"} AS t FROM coded),
+    cut AS (SELECT block_id, count(*) AS n, {scale} AS s, string_agg({one}, '' ORDER BY idx) AS d FROM coded GROUP BY block_id)
+    SELECT CAST(0 AS BIGINT) AS offset_bytes, {_le(str(method), 4)} || '00000000' || {_le("n", 8)} || repeat('00', 8) || {struct} AS bytes FROM whole {scales}
+    UNION ALL SELECT CAST({head} + {width} * ((SELECT {blocks} FROM whole)) + block_id * {size * bits // 8} AS BIGINT), {data} FROM cut"""
+
+
 _GRID = f"""{EVENTS}, last AS (SELECT max(idx) AS m FROM ev), grid AS (SELECT unnest(range(0, (m // 256 + 1) * 256)) AS idx FROM last),
     p AS (SELECT g.idx, coalesce(v, 0::FLOAT) AS v, v IS NOT NULL AS real FROM grid g LEFT JOIN ev ON g.idx = ev.idx)"""
 
 
-def _q2_k_tail(decoded: bool) -> str:
-    """From b (idx, v, real, and low and scale of the sub-block) to codes or values."""
+def _q2_k_tail(decoded: bool, method: int | None = None) -> str:
+    """From b (idx, v, real, and low and scale of the sub-block) to codes or values, or to the segments of the method's buffer."""
     f16, f16v = small_float, small_float_value
-    tail = "SELECT idx, CAST(v AS DOUBLE) AS v, CAST(CAST(sub_min + CAST(sub_scale * CAST(code AS FLOAT) AS FLOAT) AS FLOAT) AS DOUBLE) AS decoded FROM f WHERE real" if decoded else "SELECT idx, super_scale, super_min, scale_code, code FROM f WHERE real"
+    byte = "f.idx % 256 // 128 * 32 + f.idx % 32"
+    segments = f"""g AS (SELECT idx // 256 AS b, {byte} AS k, CAST(sum(code * pow(4, idx % 128 // 32)) AS INTEGER) AS byte FROM f GROUP BY 1, 2), h AS (SELECT b, string_agg({_le("byte", 1)}, '' ORDER BY k) AS d FROM g GROUP BY b),
+    i AS (SELECT idx // 256 AS b, any_value(super_scale) AS ss, any_value(super_min) AS sm, string_agg({_le("scale_code", 1)}, '' ORDER BY idx) AS c FROM f WHERE idx % 16 = 0 GROUP BY 1), n AS (SELECT count(*) AS n FROM ev)
+    SELECT CAST(0 AS BIGINT) AS offset_bytes, {_le(str(method), 4)} || '00000000' || {_le("n", 8)} || repeat('00', 8) || {_le("n", 8)} || {_le("(n + 255) // 256 * 256", 8)} || {_le("(n + 255) // 256", 4)} || repeat('00', 12) AS bytes FROM n
+    UNION ALL SELECT CAST(56 + i.b * 84 AS BIGINT), {_le("ss", 2)} || {_le("sm", 2)} || c || d FROM i JOIN h ON i.b = h.b"""
+    tail = segments if method is not None else "SELECT idx, CAST(v AS DOUBLE) AS v, CAST(CAST(sub_min + CAST(sub_scale * CAST(code AS FLOAT) AS FLOAT) AS FLOAT) AS DOUBLE) AS decoded FROM f WHERE real" if decoded else "SELECT idx, super_scale, super_min, scale_code, code FROM f WHERE real"
     return f"""c AS (SELECT *, max(scale) OVER (PARTITION BY idx // 256) AS top, max(abs(low)) OVER (PARTITION BY idx // 256) AS top_min FROM b),
     c2 AS (SELECT *, CAST(top / 15::FLOAT AS FLOAT) AS s15, CAST(top_min / 7::FLOAT AS FLOAT) AS m7 FROM c),
     d AS (SELECT *, CASE WHEN top > 0 THEN {f16("s15", 5, 10)} ELSE 0 END AS super_scale, CASE WHEN top_min > 0 THEN {f16("m7", 5, 10)} ELSE 0 END AS super_min,
       CASE WHEN top > 0 THEN CAST(round_even(CAST(CAST(15::FLOAT / top AS FLOAT) * scale AS FLOAT), 0) AS INTEGER) ELSE 0 END AS sl,
       CASE WHEN top_min > 0 THEN CAST(greatest(least(round_even(CAST(CAST(7::FLOAT / top_min AS FLOAT) * low AS FLOAT), 0), 7), -8) AS INTEGER) ELSE 0 END AS ml FROM c2),
     e AS (SELECT *, CAST({f16v("super_scale", 5, 10)} * CAST(sl AS FLOAT) AS FLOAT) AS sub_scale, CAST({f16v("super_min", 5, 10)} * CAST(ml AS FLOAT) AS FLOAT) AS sub_min, sl + ((ml + 16) % 16) * 16 AS scale_code FROM d),
-    f AS (SELECT *, CASE WHEN sub_scale > 0 THEN CAST(greatest(least(round_even(CAST(CAST(v - sub_min AS FLOAT) / sub_scale AS FLOAT), 0), 3), 0) AS INTEGER) ELSE 0 END AS code FROM e) {tail}"""
+    f AS (SELECT *, CASE WHEN sub_scale > 0 THEN CAST(greatest(least(round_even(CAST(CAST(v - sub_min AS FLOAT) / sub_scale AS FLOAT), 0), 3), 0) AS INTEGER) ELSE 0 END AS code FROM e){", " if method is not None else " "}{tail}"""
 
 
-def q2_k_fast(decoded: bool) -> str:
+def q2_k_fast(decoded: bool, method: int | None = None) -> str:
     return f"""WITH {_GRID}, a AS (SELECT *, min(v) OVER (PARTITION BY idx // 16) AS low FROM p),
-    b AS (SELECT *, CAST(max(CAST(v - low AS FLOAT)) OVER (PARTITION BY idx // 16) / 3::FLOAT AS FLOAT) AS scale FROM a), {_q2_k_tail(decoded)}"""
+    b AS (SELECT *, CAST(max(CAST(v - low AS FLOAT)) OVER (PARTITION BY idx // 16) / 3::FLOAT AS FLOAT) AS scale FROM a), {_q2_k_tail(decoded, method)}"""
 
 
-def q2_k_search(decoded: bool, weight: str = "abs(v)") -> str:
+def q2_k_search(decoded: bool, weight: str = "abs(v)", method: int | None = None) -> str:
     """The search over one plain and sixteen least-squares candidates as a recursive query, one round for each candidate; sums are
     float32 from the first element on. weight: of a value v that is not filling."""
 
@@ -177,7 +217,7 @@ def q2_k_search(decoded: bool, weight: str = "abs(v)") -> str:
         SELECT *, CASE WHEN det > 0 THEN CAST({minus("sw", "lx", "sx", "l1")} / det AS FLOAT) ELSE 0 END AS ns, CASE WHEN det > 0 THEN CAST({minus("l2", "sx", "l1", "lx")} / det AS FLOAT) ELSE 0 END AS nl FROM (
         SELECT *, {minus("sw", "l2", "l1", "l1")} AS det FROM (SELECT *, {total("w[i] * c[i]")} AS l1, {total("CAST(w[i] * c[i] AS FLOAT) * c[i]")} AS l2, {total("CAST(w[i] * c[i] AS FLOAT) * x[i]")} AS lx FROM (
         SELECT *, {codes("inv")} AS c FROM (SELECT *, CASE WHEN high > low THEN CAST(list_extract({steps}, step + 1) / CAST(high - low AS FLOAT) AS FLOAT) ELSE 0::FLOAT END AS inv FROM s WHERE step < 16)))))))) t),
-    b AS (SELECT p.*, s.low, CASE WHEN s.flat THEN 0::FLOAT ELSE s.scale END AS scale FROM p JOIN s ON p.idx // 16 = s.sub AND s.step = 16), {_q2_k_tail(decoded)}"""
+    b AS (SELECT p.*, s.low, CASE WHEN s.flat THEN 0::FLOAT ELSE s.scale END AS scale FROM p JOIN s ON p.idx // 16 = s.sub AND s.step = 16), {_q2_k_tail(decoded, method)}"""
 
 
 LONG = "m AS (SELECT CAST(vec_id AS INTEGER) AS row, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS col, CAST(unnest(embedding) AS FLOAT) AS v FROM embeddings)"

@@ -99,6 +99,35 @@ def _q2k(method: str, decoded: bool, weights: bool = False) -> Query:
     return query
 
 
+def _coded_events(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name.startswith("q2_k"):
+        return q2k.encode(bl.vector_blocks(events(spark, sf_dir), q2k.SUPER), name)
+    return kernels.encode(bl.vector_blocks(events(spark, sf_dir), CODECS[name].size), name)
+
+
+def buffers(name: str) -> Query:
+    """The segments of the relocatable buffer of the event values."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = packing.flat_buffer(_coded_events(spark, sf_dir, name), name, events(spark, sf_dir).count())
+        return parts.select("offset_bytes", F.hex("bytes").alias("bytes"))
+
+    return query
+
+
+def reloaded(name: str) -> Query:
+    """The event values packed to one buffer, loaded from it and decoded."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        values = events(spark, sf_dir)
+        _, _, coded = packing.load_flat(spark, packing.assemble(packing.flat_buffer(_coded_events(spark, sf_dir, name), name, values.count())))
+        size = q2k.SUPER if name.startswith("q2_k") else CODECS[name].size
+        done = q2k.decode(coded) if name.startswith("q2_k") else kernels.decode(coded, name)
+        return _wide(_pairs(done.withColumnRenamed("vals", "decoded").join(bl.vector_blocks(values, size), "block_id"), size))
+
+    return query
+
+
 def _topk(kind: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         wide = embeddings(spark, sf_dir)
@@ -123,7 +152,7 @@ def topk_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _config(spark: SparkSession, sf_dir: str, **more) -> tuple[DataFrame, CompressConfig]:
     wide = embeddings(spark, sf_dir)
-    return wide, CompressConfig(rows=wide.count(), columns=COLUMNS, **more)
+    return wide, CompressConfig(rows=wide.count(), columns=COLUMNS, tall=True, **more)
 
 
 def compressed(**more) -> Query:
@@ -212,6 +241,8 @@ QUERIES: dict[str, Query] = {
     **{f"{c}_roundtrip": roundtrip(c) for c in CODECS},
     **{f"{c}_metrics": errors(c) for c in CODECS},
     **{f"{c}_packed": packed(c) for c in ("fp4", "mxfp4", "nvfp4", "nf4", "nf4_dq")},
+    **{f"{c}_buffer": buffers(c) for c in (*CODECS, "q2_k", "q2_k_fast")},
+    **{f"{c}_reloaded": reloaded(c) for c in (*CODECS, "q2_k", "q2_k_fast")},
     "q2_k_fast_codes": _q2k("q2_k_fast", False),
     "q2_k_fast_roundtrip": _q2k("q2_k_fast", True),
     "q2_k_codes": _q2k("q2_k", False),
@@ -245,6 +276,12 @@ SQL: dict[str, str] = {
     **{f"{c}_roundtrip": oracles.roundtrip(c) for c in CODECS},
     **{f"{c}_metrics": oracles.metrics(c) for c in CODECS},
     **{f"{c}_packed": oracles.packed(c) for c in ("fp4", "mxfp4", "nvfp4", "nf4", "nf4_dq")},
+    **{f"{c}_buffer": oracles.buffer(c) for c in CODECS},
+    "q2_k_buffer": oracles.q2_k_search(False, method=2),
+    "q2_k_fast_buffer": oracles.q2_k_fast(False, method=12),
+    **{f"{c}_reloaded": oracles.roundtrip(c) for c in CODECS},
+    "q2_k_reloaded": oracles.q2_k_search(True),
+    "q2_k_fast_reloaded": oracles.q2_k_fast(True),
     "q2_k_fast_codes": oracles.q2_k_fast(False),
     "q2_k_fast_roundtrip": oracles.q2_k_fast(True),
     "q2_k_codes": oracles.q2_k_search(False),
