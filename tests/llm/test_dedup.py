@@ -115,6 +115,11 @@ def test_near_chain(spark, block):
     check_near(frame(spark, pairs), pairs, block=block)
 
 
+def test_near_clusters_of_long_texts_make_more_blocks(spark):
+    pairs = chain()
+    check_near(frame(spark, pairs), pairs, block_shingles=1000)
+
+
 def test_forest_spans_what_all_pairs_span():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 25)) for _ in range(60)]

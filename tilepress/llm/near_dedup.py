@@ -26,6 +26,8 @@ WORDS = 5
 COORDINATES, LEAST = 32, 16
 #: Members of a posting list or cluster that one task compares; longer ones are compared block pair by block pair.
 BLOCK = 8192
+#: Shingles of a block's full sets together (8 bytes each); clusters of long texts make more blocks.
+BLOCK_SHINGLES = 4 << 20
 
 
 def similar(common: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarray:
@@ -122,16 +124,15 @@ def _sketches(lower: bool, words: int, coordinates: int):
     return of
 
 
-def _spread(size: Column, member: Column, block: int) -> Column:
-    """Block pairs in which a member of a group of that size is compared: [(0, 0)] up to `block`."""
-    m = F.ceil(size / F.lit(block)).cast("int")
+def _spread(m: Column, member: Column) -> Column:
+    """Block pairs in which a member of a group of m blocks is compared: [(0, 0)] for one."""
     b = F.pmod(F.xxhash64(member), m).cast("int")
     return F.when(m <= 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), m - 1), lambda j: F.struct(F.least(b, j).alias("i"), F.greatest(b, j).alias("j")))
     )
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, coordinates: int = COORDINATES, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, coordinates: int = COORDINATES, least: int = LEAST, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
     A-Z are lower-cased; a document's set holds its distinct `words`-word shingles (64-bit hashes of them), or its whole
@@ -156,16 +157,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     sketched = written(base.mapInArrow(sketch, "doc_id long, cid binary, n_shingles long, tokens array<long>"), "near-sketch")
     # one representative of each distinct set: copies meet in a partial aggregate and are never paired
-    classes = sketched.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.first("tokens").alias("tokens"))
+    classes = sketched.where("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least_id"), F.first("tokens").alias("tokens"), F.first("n_shingles").alias("n_shingles"))
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
 
-    posted = classes.select("node", F.explode("tokens").alias("token"))
+    posted = classes.select("node", "n_shingles", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = posted.join(often, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
+    shared = posted.join(often, "token").groupBy("node", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
     shared = shared.where(F.size("shared") >= least)
-    lists = shared.select("node", F.transform("shared", lambda x: x["token"]).alias("tokens"), F.explode(F.slice("shared", F.lit(1), F.size("shared") - (least - 1))).alias("p"))
-    lists = lists.select("node", "tokens", "p", F.explode(_spread(F.col("p.n"), F.col("node"), block)).alias("b"))
-    lists = lists.select(F.col("p.token").alias("token"), F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "tokens")
+    lists = shared.select("node", "n_shingles", F.transform("shared", lambda x: x["token"]).alias("tokens"), F.explode(F.slice("shared", F.lit(1), F.size("shared") - (least - 1))).alias("p"))
+    lists = lists.select("node", "n_shingles", "tokens", "p", F.explode(_spread(F.ceil(F.col("p.n") / F.lit(block)).cast("int"), F.col("node"))).alias("b"))
+    lists = lists.select(F.col("p.token").alias("token"), F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "tokens", "n_shingles")
     parts = shuffle_partitions(spark)
     lists = lists.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
 
@@ -174,7 +175,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for g in groups(batches, 3):
             if g.num_rows < 2:
                 continue
-            nodes = g.column("node").to_numpy()
+            nodes, size = g.column("node").to_numpy(), g.column("n_shingles").to_numpy()
             sets = [np.sort(x) for x in _lists(g.column("tokens"))]
             root = np.arange(len(nodes))
             for a, b in forest(sets, enough):  # breadth first: a is in its tree before b
@@ -182,10 +183,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             for r in np.flatnonzero(np.bincount(root, minlength=len(nodes)) > 1):
                 own = np.sort(nodes[root == r])
                 key = mix(own.astype(np.uint64)).sum().astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own), pa.array(np.full(len(own), len(own)))], names=["cluster", "node", "n"])
+                blocks = max(-(-len(own) // block), min(len(own), -(-int(size[root == r].sum()) // block_shingles)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own), pa.array(np.full(len(own), blocks, np.int32))], names=["cluster", "node", "blocks"])
 
     # the same cluster comes from several lists; one is enough
-    members = lists.mapInArrow(candidates, "cluster long, node long, n long").dropDuplicates(["cluster", "node"])
+    members = lists.mapInArrow(candidates, "cluster long, node long, blocks int").dropDuplicates(["cluster", "node"])
     members = written(members, "near-members")
 
     wanted = classes.join(members.select("node").distinct(), "node").select("node", "cid", "least_id")
@@ -197,7 +199,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[2].view(np.int64) for x in found], pa.list_(pa.int64()))], names=["cid", "set"])
 
     sets = fetched.mapInArrow(full_sets, "cid binary, set array<long>").join(wanted, "cid").select("node", "set").dropDuplicates(["node"])
-    clusters = members.join(sets, "node").select("cluster", F.explode(_spread(F.col("n"), F.col("node"), block)).alias("b"), "node", "set")
+    clusters = members.join(sets, "node").select("cluster", F.explode(_spread(F.col("blocks"), F.col("node"))).alias("b"), "node", "set")
     clusters = clusters.select("cluster", F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "set")
     clusters = clusters.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
 
