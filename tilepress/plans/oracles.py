@@ -235,9 +235,48 @@ def topk(kind: str, k: int) -> str:
 
 
 GRAM = f"WITH {LONG} SELECT a.col AS i, b.col AS j, round(sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)), 6) AS x FROM m a JOIN m b ON a.row = b.row AND a.col <= b.col GROUP BY 1, 2"
-RECONSTRUCT = f"""WITH {LONG}, u AS (SELECT row, col AS p, CAST(v AS DOUBLE) AS x FROM m WHERE col < 8), s AS (SELECT col AS p, CAST(v AS DOUBLE) AS x FROM m WHERE row = 0 AND col < 8),
-w AS (SELECT row AS col, col AS p, CAST(v AS DOUBLE) AS x FROM m WHERE row < 32 AND col < 8)
-SELECT u.row, w.col, round(sum(u.x * s.x * w.x), 6) AS x FROM u JOIN s ON u.p = s.p JOIN w ON u.p = w.p GROUP BY 1, 2"""
+RECONSTRUCT = f"""WITH {LONG}, s AS (SELECT col AS p, sum(CAST(v AS DOUBLE)) AS x FROM m GROUP BY col),
+w AS (SELECT a.col, b.col AS p, sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) / (SELECT count(*) FROM embeddings) AS x FROM m a JOIN m b ON a.row = b.row GROUP BY 1, 2)
+SELECT m.row, w.col, round(sum(CAST(m.v AS DOUBLE) * s.x * w.x), 6) AS x FROM m JOIN s ON m.col = s.p JOIN w ON m.col = w.p GROUP BY 1, 2"""
+MOMENTS = f"""WITH {LONG}, g AS (SELECT a.col AS i, b.col AS j, sum(CAST(a.v AS DOUBLE) * CAST(b.v AS DOUBLE)) AS x FROM m a JOIN m b ON a.row = b.row GROUP BY 1, 2),
+t AS (SELECT 1 AS k, sum(x) AS x FROM g WHERE i = j UNION ALL SELECT 2, sum(x * x) FROM g UNION ALL SELECT 3, sum(a.x * b.x * c.x) FROM g a JOIN g b ON a.j = b.i JOIN g c ON b.j = c.i AND c.j = a.i)
+SELECT k, CAST(printf('%.4e', x) AS DOUBLE) AS x FROM t"""
+ORTHONORMAL = "SELECT side, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x FROM (VALUES ('u'), ('v')) t(side), range(64) a(i), range(64) b(j) WHERE i <= j"
+NEAR = f"WITH {LONG} SELECT row, col, true AS near FROM m"
+
+
+def matrix_object(kind: str) -> str:
+    """The packed matrix of the embeddings without outliers: 200 bytes of header, then raw rows or one section."""
+    bits = small_float("v", 8, 23)
+    raw = _le(bits[: -len("AS INTEGER)")] + "AS BIGINT)", 4)
+    size, storage, form = ("4 * 64 * n", 1, "FFFFFFFF") if kind == "fp32" else ("48 + 4 * n + 32 * n", 2, "0B000000")
+    none = f"repeat('00', {24})"
+    # shape, cells; two ratios; no ranks, two iterations, no rank; formats; flags
+    fixed = f"{_le('n', 2)} || '4000' || {_le('n * 64', 4)} || repeat('00', 8) || '0000' || '0200' || '0000' || '0000' || 'FFFFFFFF' || 'FFFFFFFF' || '{form}' || repeat('00', 12)"
+    head = f"{fixed} || {none} || {none} || {none} || repeat('00', 8) || {_le(size, 8)} || '{storage:02X}' || repeat('00', 7) || {none} || {none} || repeat('00', 8)"
+    if kind == "fp32":
+        return f"""WITH {LONG}, whole AS (SELECT count(*) AS n FROM embeddings) SELECT CAST(0 AS BIGINT) AS offset_bytes, {head} AS bytes FROM whole
+        UNION ALL SELECT CAST(200 + 256 * row AS BIGINT), string_agg({raw}, '' ORDER BY col) FROM m GROUP BY row"""
+    digit = "substr('0123456789ABCDEF', CAST(code AS INTEGER) + 1, 1)"
+    section = f"'55435451' || '0100' || '0000' || '0B000000' || '00000000' || {_le('n * 64', 8)} || {_le('n', 8)} || {_le('64', 8)} || repeat('00', 8)"
+    return f"""{_coded("nf4", "embeddings")}, whole AS (SELECT count(*) AS n FROM embeddings), cut AS (SELECT block_id, {_float_bits("any_value(scale)")} AS s, string_agg({digit}, '' ORDER BY idx) AS d FROM coded GROUP BY block_id)
+    SELECT CAST(0 AS BIGINT) AS offset_bytes, {head} AS bytes FROM whole UNION ALL SELECT 200, {section} FROM whole UNION ALL SELECT CAST(248 + 4 * block_id AS BIGINT), s FROM cut
+    UNION ALL SELECT CAST(248 + 4 * (SELECT n FROM whole) + 32 * block_id AS BIGINT), d FROM cut"""
+
+
+def matrix_sizes(cases) -> str:
+    """Sizes of packed matrices of 512 x 8192 cells from the sizes of their sections."""
+    rows = ", ".join(f"({o!r}::DOUBLE, {e!r}::DOUBLE, {r}, '{u}', '{s}', '{d}')" for o, e, r, u, s, d in cases)
+
+    def section(form: str, n: str) -> str:
+        return f"CASE {form} WHEN 'NF4' THEN 48 + 4 * (({n} + 63) // 64) + ({n} + 1) // 2 WHEN 'NF4_DQ' THEN 48 + (({n} + 63) // 64) + ({n} + 1) // 2 ELSE 4 * {n} END"
+
+    topk = lambda c: f"CASE WHEN {c} > 0 THEN 8 + 6 * 512 * greatest(1, CAST(floor(8192 * CAST(CAST({c} AS FLOAT) AS DOUBLE) + 0.5) AS BIGINT)) ELSE 0 END"
+    return f"""WITH c(outlier, error, ranks, uv, s, direct) AS (VALUES {rows}),
+    z AS (SELECT *, 200 + {topk("outlier")} + {topk("error")} + CASE WHEN ranks > 0 THEN ({section("uv", "(512 * ranks)")}) + ({section("s", "ranks")}) + ({section("uv", "(8192 * ranks)")}) ELSE {section("direct", "(512 * 8192)")} END AS size FROM c)
+    SELECT outlier, error, ranks, uv, s, direct, CAST(size AS BIGINT) AS packed_size, round(8.0::DOUBLE * size / (512 * 8192), 6) AS bits FROM z"""
+
+
 DIRECT_FP32 = f"WITH {LONG} SELECT row, col, CAST(v AS DOUBLE) AS v FROM m"
 
 

@@ -13,7 +13,7 @@ from tilepress.operators import blocks as bl
 from tilepress.operators import kernels, lowrank, metrics, q2k, topk
 from tilepress.operators.codecs import CODECS
 from tilepress.plans import oracles
-from tilepress.plans.compress import CompressConfig, DecompressConfig, compress, decompress
+from tilepress.plans.compress import CompressConfig, CompressedMatrix, DecompressConfig, compress, decompress, load, pack
 from tilepress.sources import generators, packing
 from tilepress.sources.matrices import matrix, vector
 
@@ -193,10 +193,90 @@ def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reconstruct_lowrank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    long = bl.to_long(embeddings(spark, sf_dir)).where("col < 8")
-    u = long.select("row", F.col("col").alias("p"), F.col("v").alias("x"))
-    s, v = u.where("row = 0").select("p", "x"), u.where("row < 32").select(F.col("row").alias("col"), "p", "x")
-    return lowrank.reconstruct_long(u, s, v).select("row", "col", F.round("x", 6).alias("x"))
+    """U diag(S) V^T for the matrix itself as U, its column sums as S, and its mean outer product as V: all rows and columns."""
+    wide = embeddings(spark, sf_dir)
+    u = bl.to_long(wide).select("row", F.col("col").alias("p"), F.col("v").cast("double").alias("x"))
+    half = lowrank.gram(wide).select("i", "j", (F.col("x") / wide.count()).alias("x"))
+    v = half.select(F.col("i").alias("col"), F.col("j").alias("p"), "x").union(half.where("i < j").select("j", "i", "x"))
+    return lowrank.reconstruct_long(u, u.groupBy("p").agg(F.sum("x").alias("x")), v).select("row", "col", F.round("x", 6).alias("x"))
+
+
+def moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the second, fourth and sixth powers of all singular values, to five digits: they are the traces of powers of A^T A."""
+    s = lowrank.lowrank_svd(embeddings(spark, sf_dir), COLUMNS, COLUMNS).s.astype(float)
+    return spark.createDataFrame([(k, float(f"{(s ** (2 * k)).sum():.4e}")) for k in (1, 2, 3)], "k int, x double")
+
+
+def orthonormal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U^T U and V^T V of all factors, to three places."""
+    f = lowrank.lowrank_svd(embeddings(spark, sf_dir), COLUMNS, COLUMNS)
+    both = [lowrank.gram(m).select(F.lit(side).alias("side"), "i", "j", F.abs(F.round("x", 3)).alias("x")) for side, m in (("u", f.u), ("v", f.v_frame()))]
+    return both[0].unionByName(both[1])
+
+
+def _near_cells(wide: DataFrame, near: DataFrame, most: float) -> DataFrame:
+    """(row, col, near): whether each cell of `near` is the matrix's to within `most`."""
+    both = wide.join(near.select(F.col("row").alias("r"), F.col("vec").alias("decoded")), F.col("row") == F.col("r"))
+    cells = both.select("row", F.posexplode(F.arrays_zip("vec", "decoded")).alias("col", "p"))
+    return cells.select("row", "col", (F.abs(F.col("p.vec").cast("double") - F.col("p.decoded").cast("double")) <= most).alias("near"))
+
+
+def whole_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With as many factors as columns, reconstruction gives every cell back."""
+    wide = embeddings(spark, sf_dir)
+    f = lowrank.lowrank_svd(wide, COLUMNS, COLUMNS)
+    return _near_cells(wide, lowrank.reconstruct(f.u, f.s, f.v), 1e-4)
+
+
+def restored(**more) -> Query:
+    """Compression that keeps everything, by rank or by correcting the error of every column, gives every cell back."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        wide, config = _config(spark, sf_dir, **more)
+        return _near_cells(wide, decompress(compress(wide, config)), 1e-4)
+
+    return query
+
+
+def matrix_object(**more) -> Query:
+    """The segments of the whole packed matrix: header and payload."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        wide, config = _config(spark, sf_dir, **more)
+        return pack(compress(wide, config)).select("offset_bytes", F.hex("bytes").alias("bytes"))
+
+    return query
+
+
+def matrix_reloaded(**more) -> Query:
+    """Packed to one value, loaded from it with bounds checks, decompressed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        wide, config = _config(spark, sf_dir, **more)
+        with compress(wide, config) as m:
+            data = packing.assemble(pack(m))
+        return _cells(decompress(load(spark, data), DecompressConfig(**{**config.__dict__, "ranks": config.rank})))
+
+    return query
+
+
+#: Settings of a matrix of 512 x 8192 cells (outlier ratio, error ratio, ranks, formats of factors, of S and of cells).
+SIZE_CASES = (
+    (0.0, 0.0, 0, "NONE", "NONE", "NF4"), (0.0, 0.1, 0, "NONE", "NONE", "NF4"), (0.05, 0.0, 0, "NONE", "NONE", "NF4_DQ"), (0.05, 0.1, 0, "NONE", "NONE", "NF4_DQ"), (0.0, 0.0, 128, "NONE", "NONE", "NONE"), (0.0, 0.0, 128, "NF4", "NF4", "NONE"),
+    (0.0, 0.1, 128, "NONE", "NONE", "NONE"), (0.0, 0.1, 128, "NF4", "NF4", "NONE"), (0.05, 0.0, 128, "NONE", "NONE", "NONE"), (0.05, 0.1, 128, "NONE", "NONE", "NONE"), (0.05, 0.1, 128, "NF4_DQ", "NF4", "NONE"), (0.0, 0.0, 0, "NONE", "NONE", "NONE"),
+)
+
+
+def matrix_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and bits per value of packed matrices of 512 x 8192 cells."""
+    rows = []
+    for case in SIZE_CASES:
+        c = CompressConfig(512, 8192, *case[:3], 2, *case[3:])
+        storage = {n: f if f != "NONE" else "FP32" for n, f in ((("u", c.uv_format), ("s", c.s_format), ("v", c.uv_format)) if c.rank else (("direct", c.only_format),))}
+        storage |= {n: "TOPK" for n, k in (("outlier", c.outlier_k), ("error", c.error_k)) if k}
+        m = CompressedMatrix(c, {}, storage)
+        rows.append((*case, m.packed_size(), round(m.bits_per_value(), 6)))
+    return spark.createDataFrame(rows, "outlier double, error double, ranks int, uv string, s string, direct string, packed_size long, bits double")
 
 
 def reconstruct_svd(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,6 +344,19 @@ QUERIES: dict[str, Query] = {
     "compress_svd_fp32": compressed(ranks=16),
     "compress_svd_nf4_error": compressed(ranks=16, uv_format="NF4", error_ratio=0.05),
     "compress_outlier_svd_error_nf4_dq": compressed(outlier_ratio=0.02, error_ratio=0.05, ranks=16, uv_format="NF4_DQ", s_format="NF4_DQ"),
+    "lowrank_moments": moments,
+    "lowrank_orthonormal": orthonormal,
+    "lowrank_whole_rank": whole_rank,
+    "compress_svd_whole_rank": restored(ranks=COLUMNS),
+    "compress_svd_nf4_whole_error": restored(ranks=16, uv_format="NF4", error_ratio=1.0),
+    "compress_outlier_svd_nf4_dq_whole_error": restored(outlier_ratio=0.02, error_ratio=1.0, ranks=16, uv_format="NF4_DQ", s_format="NF4_DQ"),
+    "matrix_object_fp32": matrix_object(),
+    "matrix_object_nf4": matrix_object(only_format="NF4"),
+    "matrix_reloaded_fp32": matrix_reloaded(),
+    "matrix_reloaded_nf4": matrix_reloaded(only_format="NF4"),
+    "matrix_reloaded_nf4_dq": matrix_reloaded(only_format="NF4_DQ"),
+    "matrix_reloaded_outlier_error_nf4": matrix_reloaded(outlier_ratio=0.1, error_ratio=0.05, only_format="NF4"),
+    "matrix_sizes": matrix_sizes,
     "section_layout": section_layout,
     "packed_sizes": packed_sizes,
     "wave_matrix": wave,
@@ -297,6 +390,16 @@ SQL: dict[str, str] = {
     "compress_direct_nf4": oracles.direct("nf4"),
     "compress_direct_nf4_dq": oracles.direct("nf4_dq"),
     "compress_outlier_error_nf4": oracles.outlier_error_nf4(K, K_ERROR),
+    "lowrank_moments": oracles.MOMENTS,
+    "lowrank_orthonormal": oracles.ORTHONORMAL,
+    **{k: oracles.NEAR for k in ("lowrank_whole_rank", "compress_svd_whole_rank", "compress_svd_nf4_whole_error", "compress_outlier_svd_nf4_dq_whole_error")},
+    "matrix_object_fp32": oracles.matrix_object("fp32"),
+    "matrix_object_nf4": oracles.matrix_object("nf4"),
+    "matrix_reloaded_fp32": oracles.DIRECT_FP32,
+    "matrix_reloaded_nf4": oracles.direct("nf4"),
+    "matrix_reloaded_nf4_dq": oracles.direct("nf4_dq"),
+    "matrix_reloaded_outlier_error_nf4": oracles.outlier_error_nf4(K, K_ERROR),
+    "matrix_sizes": oracles.matrix_sizes(SIZE_CASES),
     "section_layout": oracles.LAYOUT,
     "packed_sizes": oracles.SIZES,
     "wave_matrix": oracles.WAVE,
