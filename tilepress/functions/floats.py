@@ -127,10 +127,12 @@ def nf4_decode(code: Column) -> Column:
     return F.element_at(F.array(*[f32(v) for v in NF4_LEVELS]), code + 1)
 
 
-def pack_bits(x: Column, exponent: int, mantissa: int) -> Column:
-    """Bits of an IEEE format with that many exponent and mantissa bits, rounded half to even; NaN is the quiet positive one."""
+def pack_bits(x: Column, exponent: int, mantissa: int, special: bool = True) -> Column:
+    """Bits of a format with that many exponent and mantissa bits, rounded half to even; NaN is the quiet positive one. Without
+    special values the largest exponent is one like the others, and what is beyond the largest number becomes that."""
     bias, top = 2 ** (exponent - 1) - 1, 2**exponent - 1
-    full = F.lit(top * 2**mantissa)
+    full = F.lit(top * 2**mantissa if special else (top + 1) * 2**mantissa - 1)
+    kind = "long" if exponent + mantissa > 30 else "int"
 
     def rounded(r: Column) -> Column:
         q = F.rint(r["a"] / F.pow(F.lit(2.0), r["e"]) * float(2**mantissa))
@@ -143,25 +145,54 @@ def pack_bits(x: Column, exponent: int, mantissa: int) -> Column:
     def whole(v: Column) -> Column:
         a = F.abs(v.cast("double"))
         near = F.struct(a.alias("a"), F.when(a > 0, F.floor(F.log2(a)).cast("int")).otherwise(1 - bias).alias("e"))
-        bits = F.when(F.isnan(v), F.lit(top * 2**mantissa + 2 ** (mantissa - 1))).when(a == float("inf"), full).otherwise(let(near, placed))
-        return (bits + F.when(~F.isnan(v) & negative(v), F.lit(2 ** (exponent + mantissa)).cast("long")).otherwise(F.lit(0).cast("long"))).cast("long")
+        bits = F.when(F.isnan(v), F.lit(top * 2**mantissa + 2 ** (mantissa - 1)) if special else full).when(a == float("inf"), full).otherwise(let(near, placed))
+        sign = 2 ** (exponent + mantissa) if exponent + mantissa < 63 else -(2**63)
+        return (bits + F.when(~F.isnan(v) & negative(v), F.lit(sign).cast("long")).otherwise(F.lit(0).cast("long"))).cast("long")
 
-    out = let(x, whole)
-    return out if exponent + mantissa > 30 else out.cast("int")
+    return let(x, whole).cast(kind)
 
 
-def unpack_bits(bits: Column, exponent: int, mantissa: int) -> Column:
+def unpack_bits(bits: Column, exponent: int, mantissa: int, special: bool = True) -> Column:
     bias, top = 2 ** (exponent - 1) - 1, 2**exponent - 1
 
     def value(c: Column) -> Column:
-        field = F.shiftright(c, mantissa).bitwiseAND(F.lit(top))
+        field = F.shiftright(c, mantissa).bitwiseAND(F.lit(top)).cast("int")
         m = c.bitwiseAND(F.lit(2**mantissa - 1)).cast("double") / float(2**mantissa)
-        size = F.when(field == 0, m * F.lit(2.0 ** (1 - bias))).when(field == top, F.when(m == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).otherwise((m + 1.0) * F.pow(F.lit(2.0), field - bias))
-        return (F.when(F.shiftright(c, exponent + mantissa).bitwiseAND(F.lit(1)) == 1, F.lit(-1.0)).otherwise(1.0) * size).cast("float")
+        size = F.when(field == 0, m * F.lit(2.0 ** (1 - bias)))
+        if special:
+            size = size.when(field == top, F.when(m == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
+        size = size.otherwise((m + 1.0) * F.pow(F.lit(2.0), field - bias))
+        return (F.when(F.shiftright(c, exponent + mantissa).bitwiseAND(F.lit(1)) == 1, F.lit(-1.0)).otherwise(1.0) * size).cast("double" if mantissa > 23 else "float")
 
     return let(bits, value)
 
 
+def fp32_to_bits(x: Column) -> Column:
+    return pack_bits(x, 8, 23)
+
+
+def fp32_from_bits(bits: Column) -> Column:
+    """Of the 32 bits in a long (or a signed int)."""
+    return unpack_bits(bits.cast("long"), 8, 23)
+
+
+def fp64_to_bits(x: Column) -> Column:
+    return pack_bits(x, 11, 52)
+
+
+def fp64_from_bits(bits: Column) -> Column:
+    return unpack_bits(bits.cast("long"), 11, 52)
+
+
+def fp16_alt_encode(x: Column) -> Column:
+    """Half precision whose largest exponent is a number: up to 131008, which NaN and what is beyond also become."""
+    return pack_bits(x, 5, 10, special=False)
+
+
+def fp16_alt_decode(bits: Column) -> Column:
+    return unpack_bits(bits, 5, 10, special=False)
+
+
 def bf16_encode(x: Column) -> Column:
     return pack_bits(x, 8, 7)
 

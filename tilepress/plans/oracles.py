@@ -304,3 +304,8 @@ UNION ALL SELECT 'outlier', 'TOPK', 0, 8 + 6 * rows * 6, 2, rows FROM d UNION AL
 SELECT section, storage, CAST(sum(size) OVER (ORDER BY k) - size AS BIGINT) AS offset_bytes, CAST(size AS BIGINT) AS size, CAST(200 + sum(size) OVER () AS BIGINT) AS packed_size FROM s"""
 E4M3 = f"WITH {EVENTS}, x AS (SELECT idx, v, {e4m3('v')} AS code FROM ev) SELECT idx, code, CAST({e4m3_value('code')} AS DOUBLE) AS decoded FROM x"
 E2M1 = f"WITH {EVENTS}, w AS (SELECT idx, CAST(v / 16::FLOAT AS FLOAT) AS x FROM ev), y AS (SELECT idx, {e2m1('x')} AS code FROM w) SELECT idx, CAST(code AS INTEGER) AS code, CAST({e2m1_value('code')} AS DOUBLE) AS decoded FROM y"
+_BITS = small_float("v", 8, 23)
+_ALT = small_float("x", 5, 10).replace(f", {31 * 1024})", ", 32767)")
+_ALT_VALUE = f"CAST((CASE WHEN alt >= 32768 THEN -1 ELSE 1 END) * (CASE WHEN alt // 1024 % 32 = 0 THEN (alt % 1024) / 1024.0::DOUBLE * {2.0**-14!r}::DOUBLE ELSE (1 + (alt % 1024) / 1024.0::DOUBLE) * pow(2.0::DOUBLE, alt // 1024 % 32 - 15) END) AS DOUBLE)"
+BITS = f"""WITH {EVENTS}, w AS (SELECT idx, v, CAST(least(greatest(CAST(v * 300::FLOAT AS FLOAT), -131008::FLOAT), 131008::FLOAT) AS FLOAT) AS x FROM ev), y AS (SELECT idx, v, {_BITS[: -len("AS INTEGER)")]}AS BIGINT) AS bits, {_ALT} AS alt FROM w)
+SELECT idx, bits, CAST(v AS DOUBLE) AS v, CAST(v AS DOUBLE) / 3.0::DOUBLE AS third, alt, {_ALT_VALUE} AS alt_value FROM y"""

@@ -188,6 +188,13 @@ def e2m1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _wide(coded.select("idx", "code", fl.e2m1_decode(F.col("code")).alias("decoded")))
 
 
+def bit_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bits of float32 values, of doubles, of half precision without special values, and what they stand for."""
+    x = fl.f32(F.col("v") * fl.f32(300))
+    coded = events(spark, sf_dir).select("idx", fl.fp32_to_bits(F.col("v")).alias("bits"), (F.col("v").cast("double") / 3.0).alias("third"), fl.fp16_alt_encode(x).alias("alt"))
+    return coded.select("idx", "bits", fl.fp32_from_bits(F.col("bits")).cast("double").alias("v"), fl.fp64_from_bits(fl.fp64_to_bits(F.col("third"))).alias("third"), "alt", fl.fp16_alt_decode(F.col("alt")).cast("double").alias("alt_value"))
+
+
 def gram_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lowrank.gram(embeddings(spark, sf_dir)).select("i", "j", F.round("x", 6).alias("x"))
 
@@ -330,6 +337,7 @@ QUERIES: dict[str, Query] = {
     "q2_k_importance_codes": _q2k("q2_k_importance", False, True),
     "e4m3_values": e4m3_values,
     "e2m1_values": e2m1_values,
+    "bit_values": bit_values,
     **{f"topk_{k}": _topk(k) for k in ("extract", "separate", "decompress", "apply", "roundtrip")},
     "topk_extract_long": topk_long,
     "gram_matrix": gram_matrix,
@@ -382,6 +390,7 @@ SQL: dict[str, str] = {
     "q2_k_importance_codes": oracles.q2_k_search(False, "CAST(abs(v) + 1::FLOAT AS FLOAT)"),
     "e4m3_values": oracles.E4M3,
     "e2m1_values": oracles.E2M1,
+    "bit_values": oracles.BITS,
     **{f"topk_{k}": oracles.topk(k, K) for k in ("extract", "separate", "decompress", "apply", "roundtrip")},
     "topk_extract_long": oracles.topk("extract", K),
     "gram_matrix": oracles.GRAM,
