@@ -8,9 +8,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepress.llm._common import scratch, written
+from tilepress.llm._common import recorded, scratch, written
 from tilepress.llm.bpe import bpe_encode, word_tokenizer
-from tilepress.llm.exact_dedup import exact_dedup
+from tilepress.llm.exact_dedup import exact_dedup, row_locator
 from tilepress.llm.mixing import mix_sources
 from tilepress.llm.near_dedup import near_dedup
 from tilepress.llm.toxicity import fit, without_toxic
@@ -51,10 +51,14 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the one with the smallest id stays."""
-    keyed = _keyed(docs)
-    found = exact_dedup(keyed, id_col="row_key")
-    return _first_of_each(keyed, found.select(F.col("doc_id").alias("row_key"), F.col("keep_id").alias("group")))
+    """Of documents with equal texts the one with the smallest id stays, null ids last; a single one of rows that repeat it. The operator
+    names each row by its file and place, so ids may be null or repeat."""
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:  # not read from files
+        docs = written(docs.select(*COLUMNS), "pipeline-rows")
+    stay = exact_dedup(docs).where("kept").select("locator")
+    return docs.select(*COLUMNS, row_locator().alias("locator")).join(stay, "locator", "left_semi").select(*COLUMNS)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,6 +96,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         path = scratch(spark, f"pipeline-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with recorded(spark):  # the stage's own tables go when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,13 +41,32 @@ def drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Lists of the paths that are made while they stand here; see `recorded`.
+_records: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(drop, spark, path)
+    for record in _records:
+        record.append(path)
     return path
 
 
+@contextmanager
+def recorded(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the scratch tables made inside: for results that are written by then."""
+    record: list[str] = []
+    _records.append(record)
+    try:
+        yield
+    finally:
+        _records.remove(record)
+        for path in record:
+            drop(spark, path)
+
+
 def written(frame: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: the frame as a Parquet table in the shared folder, so that a lost executor costs no recomputation."""
     spark = frame.sparkSession

@@ -26,6 +26,11 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def row_locator() -> Column:
+    """Where a row of files stands: file and place in it."""
+    return F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
+
+
 def stream_ledger(spark: SparkSession, staged: str, schema, state_dir: str, max_bytes: int = 64 << 30) -> DataFrame:
     """Runs what is new in the folder `staged` (digest, row, locator) through the keyed state kept under state_dir.
 
@@ -86,8 +91,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).write.parquet(new)
         docs, held = spark.read.schema(schema).parquet(new), spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(home)
         id_col, text_col = "doc_id", "text"
-    locator = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string"))
-    base, held = (x.select(F.col(id_col).cast("bigint").alias("doc_id"), locator.alias("locator"), normalised(F.col(text_col)).alias("norm")) for x in (docs, held))
+    base, held = (x.select(F.col(id_col).cast("bigint").alias("doc_id"), row_locator().alias("locator"), normalised(F.col(text_col)).alias("norm")) for x in (docs, held))
     staged_rows = base.select(
         digest(F.col("norm")).alias("digest"),
         sha256(F.col("norm")).alias("text_sha256"),

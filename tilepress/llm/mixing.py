@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("doc_id"),
         pattern.alias("pattern"),
         F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), text_of(text_col), *row, F.lit(seed)).alias("order"),
+        F.xxhash64(F.col(id_col), text_of(text_col), F.lit(seed)).alias("order"),
     )
     slim = written(slim.withColumn("level", F.when(F.col("size") > 0, F.floor(F.log2("size"))).otherwise(-1).cast("int")), "mixing")
     classes = written(slim.groupBy("pattern", "level").agg(F.sum("size").alias("tokens")), "mixing-classes")
