@@ -4,7 +4,8 @@ Every distinct shingle set is posted under each (coordinate, minimum) pair of it
 `least` of the coordinates are candidates. Postings are ordered by frequency and only the prefix of a signature that a pair of
 `least` collisions cannot avoid is merged; values that occur once are skipped, as they collide with nothing. The candidates
 of a posting list form clusters, in which links are confirmed on full shingle sets; only a spanning forest of the confirmed
-links leaves a task, never all pairs of a group.
+links leaves a task, never all pairs of a group. A list of more than `BLOCK` is compared block by block, each with a few hubs of the
+whole list; only nodes that this leaves outside the list's largest component are then compared with all of it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ WORDS = 5
 #: Coordinates of a signature, and collisions of a candidate. At similarity 0.85 a pair has 27.2 collisions on average; the
 #: chance of fewer than 16 is below 1e-6 (binomial tail), which is the operator's chance to miss a link.
 COORDINATES, LEAST = 32, 16
-#: Members of a posting list or cluster that one task compares; longer ones are compared block pair by block pair.
+#: Members of a posting list that one task compares; longer ones are dealt to blocks.
 BLOCK = 8192
 #: Shingles of a block's full sets together (8 bytes each); clusters of long texts make more blocks.
 BLOCK_SHINGLES = 4 << 20
@@ -132,6 +133,36 @@ def _spread(m: Column, member: Column) -> Column:
     )
 
 
+#: Members of a large posting list, on average, that every block of it is compared with first.
+HUBS = 16
+
+
+def _first_cells(n: Column, node: Column, block: int) -> Column:
+    """Cells (i, j) in which a node of a list of n is compared at first: its own block's, and all of them for the list's hubs."""
+    m = F.ceil(n / F.lit(block)).cast("int")
+    own = F.pmod(F.xxhash64(node), m).cast("int")
+    hub = F.pmod(F.xxhash64(node, F.lit(7)), F.ceil(n / F.lit(HUBS))) == 0
+    cell = lambda k: F.struct(k.alias("i"), k.alias("j"))
+    return F.when(m <= 1, F.array(cell(F.lit(0)))).when(hub, F.transform(F.sequence(F.lit(0), m - 1), cell)).otherwise(F.array(cell(own)))
+
+
+def _rest_cells(postings: DataFrame, roots: DataFrame, block: int) -> DataFrame:
+    """Adds the cells b of what is left of the large lists after the first links. In each list, nodes of its largest component are not
+    compared with each other again, as they are connected; every other node is compared with all of the list. So the work grows
+    with the square of those others only, and with them times the list."""
+    at = postings.join(roots.withColumnRenamed("root", "found"), "node", "left").withColumn("found", F.coalesce("found", "node"))
+    sizes = at.groupBy("token", "found").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.max(F.struct("k", "found")).alias("top"), F.sum("k").alias("all"))
+    blocks = lambda n: F.ceil(n / F.lit(block)).cast("int")
+    sizes = sizes.select("token", F.col("top.found").alias("largest"), blocks(F.col("all") - F.col("top.k")).alias("others"), blocks(F.col("top.k")).alias("inside")).where("others > 0")
+    at = at.join(sizes, "token")
+    cell = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    others, inside = F.sequence(F.lit(0), F.col("others") - 1), F.sequence(F.lit(0), F.col("inside") - 1)
+    own, own_inside = F.pmod(F.xxhash64("node"), F.col("others")), F.pmod(F.xxhash64("node"), F.col("inside"))
+    apart = F.concat(F.transform(others, lambda k: cell(F.least(own, k.cast("long")), F.greatest(own, k.cast("long")))), F.transform(inside, lambda k: cell(own, F.col("others") + k)))
+    together = F.transform(others, lambda k: cell(k, F.col("others") + own_inside))
+    return at.withColumn("b", F.explode(F.when(F.col("found") == F.col("largest"), together).otherwise(apart))).drop("found", "largest", "others", "inside")
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, words: int = WORDS, coordinates: int = COORDINATES, least: int = LEAST, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """One row per document row: doc_id, n_shingles, component_id, kept.
 
@@ -163,12 +194,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     posted = classes.select("node", "n_shingles", F.explode("tokens").alias("token"))
     often = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = posted.join(often, "token").groupBy("node", "n_shingles").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("shared"))
-    shared = shared.where(F.size("shared") >= least)
-    lists = shared.select("node", "n_shingles", F.transform("shared", lambda x: x["token"]).alias("tokens"), F.explode(F.slice("shared", F.lit(1), F.size("shared") - (least - 1))).alias("p"))
-    lists = lists.select("node", "n_shingles", "tokens", "p", F.explode(_spread(F.ceil(F.col("p.n") / F.lit(block)).cast("int"), F.col("node"))).alias("b"))
-    lists = lists.select(F.col("p.token").alias("token"), F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "tokens", "n_shingles")
+    shared = written(shared.where(F.size("shared") >= least), "near-shared")
+    prefix = F.explode(F.slice("shared", F.lit(1), F.size("shared") - (least - 1))).alias("p")
+    postings = shared.select("node", "n_shingles", F.transform("shared", lambda x: x["token"]).alias("tokens"), prefix).select("node", "n_shingles", "tokens", "p.token", "p.n")
     parts = shuffle_partitions(spark)
-    lists = lists.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enough = lambda common, a, b: common >= least
@@ -186,23 +215,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 blocks = max(-(-len(own) // block), min(len(own), -(-int(size[root == r].sum()) // block_shingles)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), key)), pa.array(own), pa.array(np.full(len(own), blocks, np.int32))], names=["cluster", "node", "blocks"])
 
-    # the same cluster comes from several lists; one is enough
-    members = lists.mapInArrow(candidates, "cluster long, node long, blocks int").dropDuplicates(["cluster", "node"])
-    members = written(members, "near-members")
-
-    wanted = classes.join(members.select("node").distinct(), "node").select("node", "cid", "least_id")
-    fetched = base.join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id"))).select("doc_id", "text")
-
     def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [x for x in sketches(texts(batch.column(1)), True) if x[0] is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[2].view(np.int64) for x in found], pa.list_(pa.int64()))], names=["cid", "set"])
 
-    sets = fetched.mapInArrow(full_sets, "cid binary, set array<long>").join(wanted, "cid").select("node", "set").dropDuplicates(["node"])
-    clusters = members.join(sets, "node").select("cluster", F.explode(_spread(F.col("blocks"), F.col("node"))).alias("b"), "node", "set")
-    clusters = clusters.select("cluster", F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "set")
-    clusters = clusters.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = lambda common, a, b: similar(common, a, b, percent)
         for g in groups(batches, 3):
@@ -215,8 +232,24 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["u", "v"])
 
-    links = clusters.mapInArrow(confirm, "u long, v long")
-    roots = written(components(links), "near-roots")
+    def confirmed(cells: DataFrame) -> DataFrame:
+        """(u, v): a spanning forest of the links between the postings that meet in a cell b of their token's list."""
+        lists = cells.select("token", F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "tokens", "n_shingles")
+        lists = lists.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
+        # the same cluster comes from several lists; one is enough
+        members = written(lists.mapInArrow(candidates, "cluster long, node long, blocks int").dropDuplicates(["cluster", "node"]), "near-members")
+        wanted = classes.join(members.select("node").distinct(), "node").select("node", "cid", "least_id")
+        fetched = base.join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id"))).select("doc_id", "text")
+        sets = fetched.mapInArrow(full_sets, "cid binary, set array<long>").join(wanted, "cid").select("node", "set").dropDuplicates(["node"])
+        clusters = members.join(sets, "node").select("cluster", F.explode(_spread(F.col("blocks"), F.col("node"))).alias("b"), "node", "set")
+        clusters = clusters.select("cluster", F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "set")
+        clusters = clusters.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+        return clusters.mapInArrow(confirm, "u long, v long")
+
+    roots = components(confirmed(postings.withColumn("b", F.explode(_first_cells(F.col("n"), F.col("node"), block)))))
+    if (shared.agg(F.max(F.array_max(F.transform("shared", lambda x: x["n"])))).first()[0] or 0) > block:
+        more = confirmed(_rest_cells(postings.where(F.col("n") > block), roots, block))
+        roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     ids = classes.select("node", "cid", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = ids.join(ids.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("cid", "component_id")
     out = sketched.select("doc_id", "cid", "n_shingles").join(ids, "cid", "left")
@@ -233,3 +266,17 @@ def _lists(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
+
+
+#: The same rows in DuckDB, by a join of all shingles and the reach of every document.
+OP8_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM d WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i : i + 4], ' ') AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT p.a, p.b FROM p JOIN n x ON p.a = x.doc_id JOIN n y ON p.b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+m AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d LEFT JOIN n ON d.doc_id = n.doc_id JOIN m ON d.doc_id = m.a
+"""
