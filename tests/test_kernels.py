@@ -112,3 +112,20 @@ def test_factorization_arguments(spark):
             lowrank.lowrank_svd(x, **bad)
     with pytest.raises(ValueError):
         lowrank.lowrank_svd(x.where("false"), 3, 2)
+
+
+def test_xorshift_rows_are_one_sequence(spark):
+    from tilepress.sources.generators import xorshift_matrix, xorshift_values
+
+    got = np.array([r.vec for r in xorshift_matrix(spark, 37, 11).repartition(4).orderBy("row").collect()], f)
+    assert np.array_equal(got.ravel(), xorshift_values(37 * 11))
+
+
+def test_latency():
+    from tilepress.operators.metrics import latency
+
+    calls = []
+    found = latency(lambda: calls.append(1), warmup=2, runs=10)
+    assert len(calls) == 12 and 0 <= found["min"] <= found["p50"] <= found["p95"] <= found["max"]
+    with pytest.raises(ValueError):
+        latency(lambda: None, runs=0)

@@ -309,3 +309,19 @@ _ALT = small_float("x", 5, 10).replace(f", {31 * 1024})", ", 32767)")
 _ALT_VALUE = f"CAST((CASE WHEN alt >= 32768 THEN -1 ELSE 1 END) * (CASE WHEN alt // 1024 % 32 = 0 THEN (alt % 1024) / 1024.0::DOUBLE * {2.0**-14!r}::DOUBLE ELSE (1 + (alt % 1024) / 1024.0::DOUBLE) * pow(2.0::DOUBLE, alt // 1024 % 32 - 15) END) AS DOUBLE)"
 BITS = f"""WITH {EVENTS}, w AS (SELECT idx, v, CAST(least(greatest(CAST(v * 300::FLOAT AS FLOAT), -131008::FLOAT), 131008::FLOAT) AS FLOAT) AS x FROM ev), y AS (SELECT idx, v, {_BITS[: -len("AS INTEGER)")]}AS BIGINT) AS bits, {_ALT} AS alt FROM w)
 SELECT idx, bits, CAST(v AS DOUBLE) AS v, CAST(v AS DOUBLE) / 3.0::DOUBLE AS third, alt, {_ALT_VALUE} AS alt_value FROM y"""
+_SHIFT1 = "xor(x, x * 8192 % 4294967296)"
+_SHIFT2 = f"xor({_SHIFT1}, {_SHIFT1} // 131072)"
+_STEP = f"xor({_SHIFT2}, {_SHIFT2} * 32 % 4294967296)"
+XORSHIFT = f"""WITH RECURSIVE g(idx, x) AS (SELECT 0, {_STEP} FROM (SELECT CAST({0x13579BDF} AS BIGINT) AS x) UNION ALL SELECT idx + 1, {_STEP} FROM g WHERE idx < 1023)
+SELECT CAST(idx // 64 AS INTEGER) AS row, CAST(idx % 64 AS INTEGER) AS col, CAST(CAST(x % 16777216 AS FLOAT) / 16777216::FLOAT * 2::FLOAT - 1::FLOAT AS DOUBLE) AS v FROM g"""
+
+
+def pair_metrics(pairs: str) -> str:
+    d = "(CAST(v AS DOUBLE) - CAST(decoded AS DOUBLE))"
+    return f"SELECT count(*) AS n, round(avg(abs({d})), 6) AS mae, round(avg({d} * {d}), 6) AS mse, round(max(abs({d})), 6) AS max_abs FROM ({pairs})"
+
+
+def compressed_metrics(cells: str) -> str:
+    """Errors of cells (row, col, v) against the embeddings."""
+    own = "SELECT CAST(vec_id AS INTEGER) AS row, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS col, CAST(CAST(unnest(embedding) AS FLOAT) AS DOUBLE) AS v FROM embeddings"
+    return pair_metrics(f"SELECT o.v, c.v AS decoded FROM ({own}) o JOIN ({cells}) c ON o.row = c.row AND o.col = c.col")

@@ -166,6 +166,31 @@ def compressed(**more) -> Query:
     return query
 
 
+def compressed_errors(**more) -> Query:
+    """Errors of the decompressed matrix."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        wide, config = _config(spark, sf_dir, **more)
+        near = decompress(compress(wide, config)).select(F.col("row").alias("r"), F.col("vec").alias("decoded"))
+        cells = wide.join(near, F.col("row") == F.col("r")).select(F.explode(F.arrays_zip("vec", "decoded")).alias("p"))
+        found = metrics.measure(cells.select(F.col("p.vec").alias("v"), F.col("p.decoded").alias("decoded")))
+        return found.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "max_abs")])
+
+    return query
+
+
+def q2k_errors(method: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = metrics.measure(_q2k(method, True)(spark, sf_dir))
+        return found.select("n", *[F.round(c, 6).alias(c) for c in ("mae", "mse", "max_abs")])
+
+    return query
+
+
+def xorshift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(generators.xorshift_matrix(spark, 16, 64))
+
+
 def section_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide, config = _config(spark, sf_dir, outlier_ratio=0.1, error_ratio=0.05, only_format="NF4")
     m = compress(wide, config)
@@ -365,6 +390,11 @@ QUERIES: dict[str, Query] = {
     "matrix_reloaded_nf4_dq": matrix_reloaded(only_format="NF4_DQ"),
     "matrix_reloaded_outlier_error_nf4": matrix_reloaded(outlier_ratio=0.1, error_ratio=0.05, only_format="NF4"),
     "matrix_sizes": matrix_sizes,
+    "compress_direct_nf4_metrics": compressed_errors(only_format="NF4"),
+    "compress_outlier_error_nf4_metrics": compressed_errors(outlier_ratio=0.1, error_ratio=0.05, only_format="NF4"),
+    "q2_k_metrics": q2k_errors("q2_k"),
+    "q2_k_fast_metrics": q2k_errors("q2_k_fast"),
+    "xorshift_matrix": xorshift,
     "section_layout": section_layout,
     "packed_sizes": packed_sizes,
     "wave_matrix": wave,
@@ -409,6 +439,11 @@ SQL: dict[str, str] = {
     "matrix_reloaded_nf4_dq": oracles.direct("nf4_dq"),
     "matrix_reloaded_outlier_error_nf4": oracles.outlier_error_nf4(K, K_ERROR),
     "matrix_sizes": oracles.matrix_sizes(SIZE_CASES),
+    "compress_direct_nf4_metrics": oracles.compressed_metrics(oracles.direct("nf4")),
+    "compress_outlier_error_nf4_metrics": oracles.compressed_metrics(oracles.outlier_error_nf4(K, K_ERROR)),
+    "q2_k_metrics": oracles.pair_metrics(oracles.q2_k_search(True)),
+    "q2_k_fast_metrics": oracles.pair_metrics(oracles.q2_k_fast(True)),
+    "xorshift_matrix": oracles.XORSHIFT,
     "section_layout": oracles.LAYOUT,
     "packed_sizes": oracles.SIZES,
     "wave_matrix": oracles.WAVE,

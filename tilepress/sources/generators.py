@@ -45,8 +45,59 @@ def low_rank_matrix(spark: SparkSession, rows: int, columns: int, rank: int = 32
     return spark.range(rows).mapInArrow(make, "row int, vec array<float>")
 
 
+def _step(x: np.ndarray) -> np.ndarray:
+    """One step of a 32-bit xorshift generator (shifts 13, 17, 5)."""
+    x = x ^ x << np.uint32(13)
+    x = x ^ x >> np.uint32(17)
+    return x ^ x << np.uint32(5)
+
+
+def _apply(matrix: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Products over GF(2): the columns of the matrix whose bits are set in x, combined by exclusive or."""
+    out = np.zeros_like(x)
+    for bit in range(32):
+        out ^= np.where(x >> np.uint32(bit) & np.uint32(1), matrix[bit], np.uint32(0))
+    return out
+
+
+def xorshift_matrix(spark: SparkSession, rows: int, columns: int, seed: int = 0x13579BDF) -> DataFrame:
+    """(row, vec) of float32 in [-1, 1) from a 32-bit xorshift generator, row after row.
+
+    A step is linear over GF(2), so its powers by squaring lead straight to the state at which a row starts: rows are made
+    on their own, on any task, and are the values of the one sequence.
+    """
+    power, jump = _step(np.uint32(1) << np.arange(32, dtype=np.uint32)), np.uint32(1) << np.arange(32, dtype=np.uint32)
+    left = columns
+    while left:  # `columns` steps at once
+        if left & 1:
+            jump = _apply(power, jump)
+        power, left = _apply(power, power), left >> 1
+    jumps = [jump]
+    while len(jumps) < max(1, rows.bit_length()):
+        jumps.append(_apply(jumps[-1], jumps[-1]))
+
+    def make(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            lanes = max(1, (1 << 20) // max(1, columns))
+            for first in range(0, len(ids), lanes):
+                own = ids[first : first + lanes]
+                x, out = np.full(len(own), seed, np.uint32), np.empty((len(own), columns), np.float32)
+                for bit, m in enumerate(jumps):
+                    x = np.where(own >> bit & 1, _apply(m, x), x)
+                for k in range(columns):
+                    x = _step(x)
+                    out[:, k] = (x & np.uint32(0xFFFFFF)).astype(np.float32) / np.float32(0x1000000) * np.float32(2) - np.float32(1)
+                offsets = pa.array(np.arange(0, out.size + 1, columns, dtype=np.int32) if columns else np.zeros(len(own) + 1, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))], names=["row", "vec"])
+
+    return spark.range(rows).mapInArrow(make, "row int, vec array<float>")
+
+
 def xorshift_values(n: int, seed: int = 0x13579BDF) -> np.ndarray:
-    """n float32 in [-1, 1) from a 32-bit xorshift generator (shifts 13, 17, 5): inherently sequential, so on the driver."""
+    """The first n values of that generator one after the other, for small n on the driver; xorshift_matrix is the distributed form."""
     out, x = np.empty(n, np.float32), seed
     for i in range(n):
         x ^= x << 13 & 0xFFFFFFFF
