@@ -34,9 +34,8 @@ def terms(text: Column) -> Column:
 
 def lexicon(texts: DataFrame, min_share: float = MIN_SHARE, max_share: float = MAX_SHARE) -> DataFrame:
     """term and df of every term of the column `text` whose document frequency lies in the band; copies count once."""
-    texts = texts.select("text").distinct()
-    n = texts.count()
-    seen = texts.select(F.explode(terms(F.col("text"))).alias("term")).where("term != ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    n = texts.select(F.xxhash64("text"), F.xxhash64(F.lit(1), "text")).distinct().count()  # 128 bits of each text
+    seen = texts.select("text").distinct().select(F.explode(terms(F.col("text"))).alias("term")).where("term != ''").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return written(seen.where((F.col("df") >= min_share * n) & (F.col("df") <= max(max_share * n, 1))), "imatch-lexicon")
 
 
