@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,11 @@ def written(frame: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def forget() -> None:
+    """In a Python worker: gives up what an earlier operator keeps there between its tasks."""
+    sys.modules.pop("_tilepress_worker", None)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Smaller Arrow batches, unless the user has chosen a size."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -239,7 +239,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         # the same cluster comes from several lists; one is enough
         members = written(lists.mapInArrow(candidates, "cluster long, node long, blocks int").dropDuplicates(["cluster", "node"]), "near-members")
         wanted = classes.join(members.select("node").distinct(), "node").select("node", "cid", "least_id")
-        fetched = base.join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id"))).select("doc_id", "text")
+        # a sort-merge join whatever the sizes: re-planned to a broadcast, the texts are shuffled in vain
+        fetched = base.hint("merge").join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id"))).select("doc_id", "text")
         sets = fetched.mapInArrow(full_sets, "cid binary, set array<long>").join(wanted, "cid").select("node", "set").dropDuplicates(["node"])
         clusters = members.join(sets, "node").select("cluster", F.explode(_spread(F.col("blocks"), F.col("node"))).alias("b"), "node", "set")
         clusters = clusters.select("cluster", F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "set")

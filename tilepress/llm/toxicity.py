@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilepress.llm._common import table, text_batches, text_of, written
+from tilepress.llm._common import forget, table, text_batches, text_of, written
 from tilepress.llm._fit import FIT_ROWS, fold, sample
 from tilepress.llm._text import slices
 
@@ -99,6 +99,7 @@ def ngram_counts(rows: DataFrame) -> DataFrame:
     feature; what leaves a task is bounded by the hashed space."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         seen = np.zeros((2, 1 << BITS), np.int32)
         for batch in batches:
             y = np.array(batch.column(1).to_pylist()) > 0
@@ -180,6 +181,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, t
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             text = ["" if x is None else x for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(model.score(text) < threshold))
