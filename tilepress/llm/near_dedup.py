@@ -133,6 +133,8 @@ def _spread(m: Column, member: Column) -> Column:
     )
 
 
+#: Ids that are broadcast at most, 8 bytes each.
+BROADCAST_IDS = 500_000
 #: Members of a large posting list, on average, that every block of it is compared with first.
 HUBS = 16
 
@@ -232,15 +234,21 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["u", "v"])
 
-    def confirmed(cells: DataFrame) -> DataFrame:
-        """(u, v): a spanning forest of the links between the postings that meet in a cell b of their token's list."""
+    def confirmed(cells: DataFrame, rest: bool = False) -> DataFrame | None:
+        """(u, v): a spanning forest of the links between the postings that meet in a cell b of their token's list. Of the rest of large
+        lists there may be no candidates, or few: then no text is shuffled for them."""
         lists = cells.select("token", F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "tokens", "n_shingles")
         lists = lists.repartition(parts, "token", "i", "j").sortWithinPartitions("token", "i", "j", "node")
         # the same cluster comes from several lists; one is enough
         members = written(lists.mapInArrow(candidates, "cluster long, node long, blocks int").dropDuplicates(["cluster", "node"]), "near-members")
+        n = members.select("node").distinct().count() if rest else None
+        if n == 0:
+            return None
         wanted = classes.join(members.select("node").distinct(), "node").select("node", "cid", "least_id")
-        # a sort-merge join whatever the sizes: re-planned to a broadcast, the texts are shuffled in vain
-        fetched = base.hint("merge").join(wanted.select("least_id").distinct(), F.col("doc_id").eqNullSafe(F.col("least_id"))).select("doc_id", "text")
+        ids = wanted.select("least_id").distinct()
+        # else a sort-merge join whatever the sizes: re-planned to a broadcast, the texts are shuffled in vain
+        texts_of = base.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("least_id"))) if rest and n <= BROADCAST_IDS else base.hint("merge").join(ids, F.col("doc_id").eqNullSafe(F.col("least_id")))
+        fetched = texts_of.select("doc_id", "text")
         sets = fetched.mapInArrow(full_sets, "cid binary, set array<long>").join(wanted, "cid").select("node", "set").dropDuplicates(["node"])
         clusters = members.join(sets, "node").select("cluster", F.explode(_spread(F.col("blocks"), F.col("node"))).alias("b"), "node", "set")
         clusters = clusters.select("cluster", F.col("b.i").alias("i"), F.col("b.j").alias("j"), "node", "set")
@@ -249,8 +257,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     roots = components(confirmed(postings.withColumn("b", F.explode(_first_cells(F.col("n"), F.col("node"), block)))))
     if (shared.agg(F.max(F.array_max(F.transform("shared", lambda x: x["n"])))).first()[0] or 0) > block:
-        more = confirmed(_rest_cells(postings.where(F.col("n") > block), roots, block))
-        roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+        more = confirmed(_rest_cells(postings.where(F.col("n") > block), roots, block), rest=True)
+        if more is not None:
+            roots = components(more.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
     ids = classes.select("node", "cid", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = ids.join(ids.groupBy("root").agg(F.min("least_id").alias("component_id")), "root").select("cid", "component_id")
     out = sketched.select("doc_id", "cid", "n_shingles").join(ids, "cid", "left")
