@@ -26,7 +26,8 @@ FORMATS = ("NONE", "NF4", "NF4_DQ")
 #: Below or at this magnitude a residual counts as zero: the float32 epsilon.
 EPSILON = 1.1920928955078125e-07
 SECTIONS = ("u", "s", "v", "direct", "outlier", "error")
-#: Rows of one packed object at most: its header has 16 bits for them.
+#: Rows of one packed object at most: its header has 16 bits for them. A whole object of more rows keeps the low 16 bits there; its cells,
+#: of which there are 32 bits, tell how many rows it has.
 TILE_ROWS = 65_535
 
 
@@ -46,7 +47,8 @@ class CompressConfig:
     uv_format: str = "NONE"
     s_format: str = "NONE"
     only_format: str = "NONE"
-    #: Whether there may be more than TILE_ROWS rows. Sections then hold all rows; packed objects are made of `tiles`.
+    #: Whether there may be more than TILE_ROWS rows. Sections then hold all rows; packed objects are made of `tiles`, or of
+    #: all rows with `whole=True`.
     tall: bool = False
 
     def __post_init__(self) -> None:
@@ -261,24 +263,28 @@ HAS_SVD, HAS_OUTLIER, HAS_ERROR = 1, 2, 4
 _FIXED, _SECTION = "<HHIffhhhhiiiiI4x", "<QQB7x"
 
 
-def header(matrix: CompressedMatrix) -> bytes:
+def header(matrix: CompressedMatrix, whole: bool = False) -> bytes:
     """The 200 bytes before the payload: shape, settings, flags, six section descriptors, an empty pointer."""
     c, held = matrix.config, {name: (kind, at, size) for name, kind, at, size in matrix.layout()}
-    if c.rows > TILE_ROWS:
+    if c.rows > TILE_ROWS and not whole:
         raise ValueError("a packed object holds 65535 rows at most; pack the tiles")
+    if c.rows * c.columns >= 2**32:
+        raise ValueError("a packed object holds 2^32 - 1 cells at most; pack the tiles")
     flags = HAS_SVD * bool(c.rank) + HAS_OUTLIER * ("outlier" in held) + HAS_ERROR * ("error" in held)
     forms = [packing.METHODS[f] for f in (c.uv_format, c.s_format, c.only_format)]
-    out = struct.pack(_FIXED, c.rows, c.columns, c.rows * c.columns, c.outlier_ratio, c.error_ratio, c.ranks, c.niters, c.rank, 0, *forms, 0, flags)
+    out = struct.pack(_FIXED, c.rows % (TILE_ROWS + 1), c.columns, c.rows * c.columns, c.outlier_ratio, c.error_ratio, c.ranks, c.niters, c.rank, 0, *forms, 0, flags)
     for name in SECTIONS:
         kind, at, size = held.get(name, ("NONE", 0, 0))
         out += struct.pack(_SECTION, at, size, STORAGE["QUANT" if kind in ("NF4", "NF4_DQ") else kind])
     return out + bytes(8)
 
 
-def pack(matrix: CompressedMatrix) -> DataFrame:
-    """The whole packed matrix as segments (offset_bytes, bytes): header and payload. packing.assemble makes one value of them."""
+def pack(matrix: CompressedMatrix, whole: bool = False) -> DataFrame:
+    """The packed matrix as segments (offset_bytes, bytes): header and payload. packing.assemble makes one value of them.
+
+    whole: one object also of more than TILE_ROWS rows, which only `load` reads; other readers need the tiles."""
     c, spark = matrix.config, next(iter(matrix.sections.values())).sparkSession
-    out = spark.createDataFrame([(0, bytearray(header(matrix)))], packing.SEGMENTS)
+    out = spark.createDataFrame([(0, bytearray(header(matrix, whole)))], packing.SEGMENTS)
     count = {"u": c.rows * c.rank, "s": c.rank, "v": c.columns * c.rank, "direct": c.rows * c.columns}
     width = {"u": c.rank, "s": c.rank, "v": c.rank, "direct": c.columns}
     for name, kind, at, _ in matrix.layout():
