@@ -304,12 +304,13 @@ def load(spark, data: bytes) -> CompressedMatrix:
     bytes beyond the payload are passed over."""
     if len(data) < sizes.MATRIX_HEADER:
         raise ValueError("shorter than its header")
-    rows, columns, n, outlier, error, ranks, niters, rank, _, uv, s_, only, _, flags = struct.unpack_from(_FIXED, data)
+    low, columns, n, outlier, error, ranks, niters, rank, _, uv, s_, only, _, flags = struct.unpack_from(_FIXED, data)
+    rows = n // max(1, columns)  # of a whole object, `low` has their low 16 bits
     names = {v: k for k, v in packing.METHODS.items()}
     forms = [names.get(f, "") for f in (uv, s_, only)]
-    if n != rows * columns or any(f not in FORMATS for f in forms):
+    if n != rows * columns or low != rows % (TILE_ROWS + 1) or any(f not in FORMATS for f in forms):
         raise ValueError("the header does not fit")
-    c = CompressConfig(rows, columns, outlier, error, ranks, niters, *forms)
+    c = CompressConfig(rows, columns, outlier, error, ranks, niters, *forms, tall=rows > TILE_ROWS)
     payload, storage, sections = len(data) - sizes.MATRIX_HEADER, {}, {}
     shape = {"u": (rows, rank, c.uv_format), "s": (1, rank, c.s_format), "v": (columns, rank, c.uv_format), "direct": (rows, columns, c.only_format)}
     for k, name in enumerate(SECTIONS):
