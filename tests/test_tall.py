@@ -16,7 +16,7 @@ def tall(tmp_path_factory):
     return path
 
 
-NAMES = ("matrix_object_fp32", "matrix_object_nf4", "matrix_reloaded_fp32", "matrix_reloaded_nf4")
+NAMES = ("matrix_object_fp32", "matrix_object_nf4", "matrix_reloaded_fp32", "matrix_reloaded_nf4", "matrix_reloaded_nf4_dq")
 
 
 @pytest.mark.parametrize("name", NAMES)
