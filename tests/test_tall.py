@@ -1,8 +1,13 @@
 """Queries over matrices of more rows than the 16 bits of a packed header tell."""
 
+import struct
+
 import pytest
+from pyspark.sql import functions as F
 
 from tilepress.plans import registry
+from tilepress.plans.compress import CompressConfig, compress, load, pack
+from tilepress.sources import packing
 
 ROWS = 65_600
 
@@ -16,7 +21,7 @@ def tall(tmp_path_factory):
     return path
 
 
-NAMES = ("matrix_object_fp32", "matrix_object_nf4", "matrix_reloaded_fp32", "matrix_reloaded_nf4", "matrix_reloaded_nf4_dq")
+NAMES = ("matrix_object_fp32", "matrix_object_nf4", "matrix_reloaded_fp32", "matrix_reloaded_nf4", "matrix_reloaded_nf4_dq", "matrix_reloaded_outlier_error_nf4")
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -32,3 +37,14 @@ def test_tall_queries_match_sql(spark, tall, tmp_path, name):
     assert db.execute("SELECT count(*) FROM want").fetchall()[0][0] > 0
     for a, b in (("got", "want"), ("want", "got")):
         assert db.execute(f"SELECT count(*) FROM (SELECT {columns} FROM {a} EXCEPT ALL SELECT {columns} FROM {b})").fetchall() == [(0,)]
+
+
+def test_whole_objects_are_checked(spark):
+    a = spark.range(65_537).select(F.col("id").cast("int").alias("row"), F.array(F.col("id").cast("float"), F.sin("id").cast("float")).alias("vec"))
+    with compress(a, CompressConfig(rows=65_537, columns=2, only_format="NF4", outlier_ratio=0.5, tall=True)) as m:
+        data = packing.assemble(pack(m, whole=True))
+        again = load(spark, data)
+        assert again.config.rows == 65_537 and again.layout() == m.layout() and struct.unpack_from("<HHI", data) == (1, 2, 2 * 65_537)
+    for bad in (struct.pack("<HHI", 2, 2, 2 * 65_537), struct.pack("<HHI", 1, 2, 2), struct.pack("<HHI", 1, 2, 2 * 131_073), struct.pack("<HHI", 1, 0, 2 * 65_537)):
+        with pytest.raises(ValueError):
+            load(spark, bad + data[8:])

@@ -219,7 +219,8 @@ def unpack_quantized(spark, data: bytes) -> DataFrame:
 
 
 def topk_segments(sparse: DataFrame, rows: int, columns: int, k: int, at: int = 0) -> DataFrame:
-    """(row, picks) with rows 0..rows-1 and k picks each: header, 16-bit columns, float32 values, as segments from byte `at` on."""
+    """(row, picks) with rows 0..rows-1 and k picks each: header, 16-bit columns, float32 values, as segments from byte `at` on.
+    The header has the low 16 bits of the rows."""
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,13 +233,15 @@ def topk_segments(sparse: DataFrame, rows: int, columns: int, k: int, at: int =
                 parts += [np.array([p["col"] for p in picks], "<u2").tobytes(), np.array([p["v"] for p in picks], "<f4").tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(parts, pa.binary())], names=["offset_bytes", "bytes"])
 
-    head = _head(sparse, at, struct.pack("<HHHH", rows, columns, k, 0))
+    head = _head(sparse, at, struct.pack("<HHHH", rows % 65_536, columns, k, 0))
     return head if k == 0 else head.unionByName(sparse.select("row", "picks").mapInArrow(put, SEGMENTS))
 
 
 def pack_topk(sparse: DataFrame, columns: int) -> bytes:
     """(row, picks) as one value."""
     found = sparse.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max(F.size("picks")), F.lit(0)).alias("k")).first()
+    if found.rows > 65_535:
+        raise ValueError("a value of its own tells 65535 rows at most")
     return assemble(topk_segments(sparse, found.rows, columns, found.k))
 
 
@@ -247,20 +250,20 @@ def unpack_topk(spark, data: bytes, rows: int, columns: int, capacity: int) -> D
     if len(data) < sizes.TOPK_HEADER:
         raise ValueError("shorter than its header")
     r, c, k, _ = struct.unpack_from("<HHHH", data)
-    if (r, c) != (rows, columns) or not r or not c or k > c or k > capacity or len(data) != sizes.topk_size(r, c, k):
+    if (r, c) != (rows % 65_536, columns) or not rows or not c or k > c or k > capacity or len(data) != sizes.topk_size(rows, c, k):
         raise ValueError("header does not fit")
     held = spark.sparkContext.broadcast(data)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = np.frombuffer(held.value, "<u2", r * k, sizes.TOPK_HEADER).reshape(r, k)
-        vals = np.frombuffer(held.value, "<f4", r * k, sizes.TOPK_HEADER + 2 * r * k).reshape(r, k)
+        cols = np.frombuffer(held.value, "<u2", rows * k, sizes.TOPK_HEADER).reshape(rows, k)
+        vals = np.frombuffer(held.value, "<f4", rows * k, sizes.TOPK_HEADER + 2 * rows * k).reshape(rows, k)
         for batch in batches:
             ids = batch.column(0).to_numpy()
             offsets = pa.array(np.arange(0, len(ids) * k + 1, k, dtype=np.int32) if k else np.zeros(len(ids) + 1, np.int32))
             pairs = pa.StructArray.from_arrays([pa.array(cols[ids].ravel().astype(np.int32)), pa.array(vals[ids].ravel())], names=["col", "v"])
             yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.ListArray.from_arrays(offsets, pairs)], names=["row", "picks"])
 
-    return spark.range(r).mapInArrow(take, "row int, picks array<struct<col:int,v:float>>")
+    return spark.range(rows).mapInArrow(take, "row int, picks array<struct<col:int,v:float>>")
 
 
 def dense_segments(wide: DataFrame, width: int, at: int = 0) -> DataFrame:
