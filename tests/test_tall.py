@@ -21,7 +21,7 @@ def tall(tmp_path_factory):
     return path
 
 
-NAMES = ("matrix_object_fp32", "matrix_object_nf4", "matrix_reloaded_fp32", "matrix_reloaded_nf4", "matrix_reloaded_nf4_dq", "matrix_reloaded_outlier_error_nf4")
+NAMES = ("matrix_object_fp32", "matrix_object_nf4", "matrix_reloaded_fp32", "matrix_reloaded_nf4", "matrix_reloaded_nf4_dq", "matrix_reloaded_outlier_error_nf4", "section_layout")
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -44,7 +44,7 @@ def test_whole_objects_are_checked(spark):
     with compress(a, CompressConfig(rows=65_537, columns=2, only_format="NF4", outlier_ratio=0.5, tall=True)) as m:
         data = packing.assemble(pack(m, whole=True))
         again = load(spark, data)
-        assert again.config.rows == 65_537 and again.layout() == m.layout() and struct.unpack_from("<HHI", data) == (1, 2, 2 * 65_537)
+        assert len(data) == m.packed_size(whole=True) and again.config.rows == 65_537 and again.layout() == m.layout() and struct.unpack_from("<HHI", data) == (1, 2, 2 * 65_537)
     for bad in (struct.pack("<HHI", 2, 2, 2 * 65_537), struct.pack("<HHI", 1, 2, 2), struct.pack("<HHI", 1, 2, 2 * 131_073), struct.pack("<HHI", 1, 0, 2 * 65_537)):
         with pytest.raises(ValueError):
             load(spark, bad + data[8:])

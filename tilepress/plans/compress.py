@@ -106,10 +106,10 @@ class CompressedMatrix:
                 at += size
         return out
 
-    def packed_size(self) -> int:
-        """Bytes of the packed object; of a taller matrix, of the objects of its tiles."""
+    def packed_size(self, whole: bool = False) -> int:
+        """Bytes of the packed object; of a taller matrix, of the objects of its tiles, or of the whole object."""
         rows = self.config.rows
-        if rows > TILE_ROWS:
+        if rows > TILE_ROWS and not whole:
             parts = [n for n in {TILE_ROWS: rows // TILE_ROWS, rows % TILE_ROWS: 1}.items() if n[0]]
             return sum(k * replace(self, config=replace(self.config, rows=n)).packed_size() for n, k in parts)
         return sizes.MATRIX_HEADER + max((offset + size for _, _, offset, size in self.layout()), default=0)
