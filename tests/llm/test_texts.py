@@ -325,3 +325,24 @@ def test_ledger_scans_only_what_is_new(spark, tmp_path):
     found = scan_secrets(frame(spark, SECRETS), ledger, newer)
     assert entries() == first + len(RULES) + len({t or "" for _, t in SECRETS})
     assert sum(r.n_hex for r in found.collect()) == sum(sum(x[2] == "hex" for x in scan(t or "", newer)) for _, t in SECRETS)
+
+
+def test_bpe_store_holds_words_once():
+    """A word takes no more of the store than its own and its ids' bytes, and one in capitals is not merged again."""
+
+    class Counting:
+        def __init__(self, model):
+            self.model, self.calls = model, 0
+
+        def tokenize(self, text):
+            self.calls += 1
+            return self.model.tokenize(text)
+
+    letters = [f"{a}{b}{c}" for a in ("ba", "kéri", "tolu") for b in ("mi", "narö", "sen", "du") for c in ("", "lo", "vast", "qui", "zemi")]
+    text = " ".join([*letters, *map(str.capitalize, letters), *(x.upper() + "." for x in letters)])
+    e = ChunkEncoder(word_tokenizer(), chunk=64, store=280 * 3 * len(letters))
+    e.model = Counting(e.model)
+    (n, ids, decoded), = e.encode_texts([text.encode()])
+    want, whole = tokens(word_tokenizer(), text)
+    assert (n, ids, decoded) == (len(want), " ".join(map(str, want)).encode(), whole)
+    assert e.model.calls == len(letters) and all(x.encode() in e.ids for x in letters)

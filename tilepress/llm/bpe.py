@@ -14,6 +14,7 @@ import os
 import re
 import sys
 import types
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -67,6 +68,10 @@ _LETTERS = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 #: The sign that byte-level vocabularies write for each byte: itself if printed in Latin-1, else the next sign from 256 on.
 _SIGNS = "".join(chr(b) if b in _PRINTED else chr(256 + sum(x not in _PRINTED for x in range(b))) for b in range(256))
+#: The same by the byte's sign in Latin-1, where it is another.
+_OTHER_SIGNS = {b: s for b, s in enumerate(_SIGNS) if ord(s) != b}
+#: Bytes that a word takes in the store beside its own and its ids': two objects and its share of the table.
+_ENTRY = 200
 
 
 class ChunkEncoder:
@@ -84,8 +89,12 @@ class ChunkEncoder:
         self.separable, self.runs = space_separable(definition), letter_runs(definition)
         self.model = self.tokenizer.model
         self.chunk, self.limit = chunk, store
-        self.ids: dict[bytes, bytes] = {}  # of words
-        self.decoded: dict[bytes, str] = {}
+        self.ids: dict[bytes, bytes] = {}  # of words, four bytes each
+        tokens = {i: token.encode() for token, i in self.tokenizer.get_vocab().items()}
+        self.quads = [i.to_bytes(4, sys.byteorder) for i in range(max(tokens, default=0) + 1)]
+        #: Each id in decimal, and what it decodes to: without a decoder a text is its tokens joined by one space.
+        self.digits = pa.array([b"%d " % i for i in range(len(self.quads))], pa.large_binary())
+        self.tokens = pa.array([tokens[i] + b" " if i in tokens else b"" for i in range(len(self.quads))], pa.large_binary())
         self.chunks: dict[bytes, tuple] = {}
         self.held = self.held_chunks = 0
         self.reused = self.made = self.compared = self.repaired = 0
@@ -101,49 +110,61 @@ class ChunkEncoder:
                 self.held_chunks = 0
             self.chunks[key] = value
 
-    def _put(self, word: bytes, ids: bytes, decoded: str) -> None:
-        self.ids[word], self.decoded[word] = ids, decoded
-        self.held += 2 * len(word) + len(ids) + len(decoded) + 350
-
     def _learn(self, words: list[bytes]) -> None:
         """Encodes the words that are not held; afterwards all of them are."""
         if self.held > self.limit:
             self.ids.clear()
-            self.decoded.clear()
             self.held = 0
-        known, rest = self.ids, []
-        for word in dict.fromkeys(words):
-            if word in known:
+        known, runs, quads, tokenize, rest, held = self.ids, self.runs, self.quads, self.model.tokenize, [], 0
+        for word in set(words).difference(known):
+            if not runs or len(word) > 256:
+                rest.append(word)
                 continue
-            m = _LETTERS.fullmatch(word) if self.runs else None
-            if m is None or len(word) > 256:
+            letters = word.rstrip(b".,;:!?")
+            marks = word[len(letters) :]
+            plain = letters.isalpha()  # of bytes: ASCII letters only
+            if not plain and _LETTERS.fullmatch(letters) is None:
                 rest.append(word)
                 continue
-            letters, marks = m.groups()
-            if letters not in known:  # one pre-token of letters: the merges alone
-                tokens = self.model.tokenize("".join([_SIGNS[b] for b in letters.decode().lower().encode()]))
-                self._put(letters, b" ".join([b"%d" % t.id for t in tokens]), " ".join([t.value for t in tokens]))
+            ids = known.get(letters)
+            if ids is None:  # one pre-token of letters: the merges alone
+                low = letters.lower() if plain else letters.decode().lower().encode()
+                ids = known.get(low)
+                if ids is None:
+                    signs = low.decode() if plain else low.decode("latin-1").translate(_OTHER_SIGNS)
+                    ids = known[low] = b"".join([quads[t.id] for t in tokenize(signs)])
+                    held += len(low) + len(ids) + _ENTRY
             if marks:
                 if marks not in known:
                     self._whole([marks])
-                self._put(word, known[letters] + b" " + known[marks], f"{self.decoded[letters]} {self.decoded[marks]}")
+                ids = ids + known[marks]
+            if word not in known:
+                known[word] = ids
+                held += len(word) + len(ids) + _ENTRY
+        self.held += held
         if rest:
             self._whole(rest)
 
     def _whole(self, words: list[bytes]) -> None:
-        for word, e in zip(words, self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), strict=True):
-            self._put(word, " ".join(map(str, e.ids)).encode(), self.tokenizer.decode(e.ids, skip_special_tokens=False))
+        for word, e in zip(words, self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False), strict=True):
+            self.ids[word] = ids = array("i", e.ids).tobytes()
+            self.held += len(word) + len(ids) + _ENTRY
 
-    def _words(self, words: list[bytes]) -> tuple[bytes, str]:
+    def _words(self, words: list[bytes]) -> bytes:
+        """Ids of the words one after the other."""
         try:
-            ids = b" ".join(map(self.ids.__getitem__, words))
+            return b"".join(map(self.ids.__getitem__, words))
         except KeyError:
             self._learn(words)
-            ids = b" ".join(map(self.ids.__getitem__, words))
-        if b"  " in ids or ids[:1] == b" " or ids[-1:] == b" ":  # a word without tokens
-            words = [w for w in words if self.ids[w]]
-            ids = b" ".join(map(self.ids.__getitem__, words))
-        return ids, " ".join(map(self.decoded.__getitem__, words))
+            return b"".join(map(self.ids.__getitem__, words))
+
+    @staticmethod
+    def _joined(values: pa.Array, ids: np.ndarray) -> bytes:
+        """The values of the ids, each of which ends with a space, without the last space."""
+        if not len(ids):
+            return b""
+        _, ends, data = values.take(pa.array(ids)).buffers()
+        return data.slice(0, int(np.frombuffer(ends, np.int64, len(ids) + 1)[-1]) - 1).to_pybytes()
 
     def pieces(self, data: bytes) -> list[bytes]:
         """Content-defined chunks; cuts lie between any two code points."""
@@ -152,7 +173,7 @@ class ChunkEncoder:
         cuts = [0, *(c for c in gear_cuts(data, self.chunk).tolist() if c < len(data) and data[c] & 0xC0 != 0x80), len(data)]
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
-    def _chunk(self, piece: bytes) -> tuple[bytes, bytes, str, bytes]:
+    def _chunk(self, piece: bytes) -> tuple[bytes, bytes, bytes]:
         """What a chunk holds between its first and last white space, encoded, and the parts of words at its ends."""
         got = self.chunks.get(piece)
         if got is not None:
@@ -160,7 +181,7 @@ class ChunkEncoder:
             return got
         self.made += 1
         first, last = piece.find(b" "), piece.rfind(b" ")
-        got = (piece, b"", "", b"") if first < 0 else (piece[:first], *self._words(piece[first:last].split()), piece[last + 1 :])
+        got = (piece, b"", b"") if first < 0 else (piece[:first], self._words(piece[first:last].split()), piece[last + 1 :])
         if len(piece) >= self.chunk // 4:
             self._keep_chunk(piece, got)
         return got
@@ -180,8 +201,8 @@ class ChunkEncoder:
             windows = [data[a:b] for a, b in spans]
             self.compared += len(windows)
             again = []
-            for (span, cut), window, e in zip(spans.items(), windows, self.tokenizer.encode_batch([w.decode() for w in windows], add_special_tokens=False), strict=True):
-                if b" ".join([b"%d" % i for i in e.ids]) != self._words(window.split())[0]:
+            for (span, cut), window, e in zip(spans.items(), windows, self.tokenizer.encode_batch_fast([w.decode() for w in windows], add_special_tokens=False), strict=True):
+                if array("i", e.ids).tobytes() != self._words(window.split()):
                     if span == (0, len(data)):
                         return False
                     again.append(cut)
@@ -196,10 +217,10 @@ class ChunkEncoder:
                 yield len(ids), " ".join(map(str, ids)).encode(), self.tokenizer.decode(ids, skip_special_tokens=False)
                 continue
             data = x.translate(_SPACES)
-            coded, decoded, open_word, at, cuts = [], [], b"", 0, []
+            coded, open_word, at, cuts = [], b"", 0, []
             pieces = self.pieces(data)
             for k, piece in enumerate(pieces):
-                head, ids, text, tail = self._chunk(piece)
+                head, ids, tail = self._chunk(piece)
                 at += len(piece)
                 if k + 1 < len(pieces):
                     cuts.append(at)
@@ -208,24 +229,22 @@ class ChunkEncoder:
                 open_word += head
                 if len(head) == len(piece):
                     continue
-                for got in (self._words([open_word]) if open_word else (b"", ""), (ids, text)):
-                    if got[0]:
-                        coded.append(got[0])
-                        decoded.append(got[1])
+                if open_word and (got := self._words([open_word])):
+                    coded.append(got)
+                if ids:
+                    coded.append(ids)
                 open_word = tail
             if open_word:
-                got = self._words([open_word])
-                if got[0]:
-                    coded.append(got[0])
-                    decoded.append(got[1])
+                if got := self._words([open_word]):
+                    coded.append(got)
                 if len(open_word) > 64 * LONGEST_KEPT:  # one unbroken run; not worth its room
-                    self.ids.pop(open_word, None), self.decoded.pop(open_word, None)
+                    self.ids.pop(open_word, None)
             if cuts and not self._agree(data, cuts):  # no window agrees: the whole text in one piece
                 own = self._ids(x.decode())
                 yield len(own), " ".join(map(str, own)).encode(), self.decode(own)
                 continue
-            ids = b" ".join(coded)
-            yield (ids.count(b" ") + 1 if ids else 0), ids, " ".join(decoded)
+            own = np.frombuffer(b"".join(coded), np.intc)
+            yield len(own), self._joined(self.digits, own), self._joined(self.tokens, own).decode()
 
     def _located(self, text: str, at: int) -> tuple[list[int], list[int]]:
         e = self.tokenizer.encode(text, add_special_tokens=False)
