@@ -48,3 +48,33 @@ def test_whole_objects_are_checked(spark):
     for bad in (struct.pack("<HHI", 2, 2, 2 * 65_537), struct.pack("<HHI", 1, 2, 2), struct.pack("<HHI", 1, 2, 2 * 131_073), struct.pack("<HHI", 1, 0, 2 * 65_537)):
         with pytest.raises(ValueError):
             load(spark, bad + data[8:])
+
+
+@pytest.mark.parametrize("form", ["NF4"])
+def test_driver_takes_few_segments(spark, tall, monkeypatch, form):
+    """Of some 131,000 segments of a packed matrix the driver fetches joined ones only."""
+    wide, config = registry._config(spark, str(tall), only_format=form)
+    fetched, plain = [], type(wide).toLocalIterator
+
+    def counted(self, *more):
+        for r in plain(self, *more):
+            fetched.append(len(r.bytes))
+            yield r
+
+    monkeypatch.setattr(type(wide), "toLocalIterator", counted)
+    monkeypatch.setattr(packing, "PIECE", 1 << 20)
+    with compress(wide, config) as m:
+        parts = pack(m, whole=True)
+        data = packing.assemble(parts)
+        want = b"".join(bytes(r.bytes) for r in parts.orderBy("offset_bytes").collect())
+    assert data == want and len(data) == m.packed_size(whole=True) and sum(fetched) == len(data)
+    assert len(fetched) < 200
+
+
+def test_segments_of_a_batch_are_joined():
+    import pyarrow as pa
+
+    batch = lambda *x: pa.RecordBatch.from_arrays([pa.array([a for a, _ in x], pa.int64()), pa.array([b for _, b in x], pa.binary())], names=["offset_bytes", "bytes"])
+    some = batch((7, b"h"), (0, b"ab"), (9, b""), (4, b"efg"), (2**33, b"z"), (2, b"c"))
+    found = [(r["offset_bytes"], r["bytes"]) for b in packing._runs([batch(), some, batch((3, b"d"))]) for r in b.to_pylist()]
+    assert found == [(0, b"abc"), (4, b"efgh"), (9, b""), (2**33, b"z"), (3, b"d")]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,6 +88,8 @@ SHAPE = {"q8_0": (32, 4, 8), "q4_0": (32, 4, 4), "bf16": (256, 0, 16), "fp16": (
 TENSOR = {"fp8": "scale", "fp4": "scale", "nvfp4": "tensor_scale", "nf4_dq": "dq_scale"}
 #: A whole object as one value: bytes that the driver puts together at most. Larger ones stay tables of segments.
 ONE_VALUE = 1 << 30
+#: Bytes of it that the driver fetches at a time, more or less.
+PIECE = 16 << 20
 SEGMENTS = "offset_bytes long, bytes binary"
 
 
@@ -129,13 +132,31 @@ def flat_buffer(coded: DataFrame, codec: str, elements: int) -> DataFrame:
     return _head(coded, 0, head).unionByName(_block_segments(coded, codec, elements, len(head)))
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of a batch that follow one another as one: thousands of blocks become a few rows."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        at = batch.column(0).to_numpy()
+        order = np.argsort(at, kind="stable")
+        at, parts = at[order], batch.column(1).take(pa.array(order))
+        size = pc.binary_length(parts).to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != (at + size)[:-1])))
+        cuts = np.concatenate(([0], np.cumsum(size)))
+        held = memoryview(b"".join(parts.to_pylist()))
+        yield pa.RecordBatch.from_arrays([pa.array(at[first]), pa.array([held[a:b] for a, b in zip(cuts[first], [*cuts[first[1:]], cuts[-1]], strict=True)], pa.binary())], names=["offset_bytes", "bytes"])
+
+
 def assemble(segments: DataFrame, most: int = ONE_VALUE) -> bytes:
-    """The segments as one value. Raises ValueError beyond `most` bytes, and where they leave gaps or overlap."""
+    """The segments as one value. Raises ValueError beyond `most` bytes, and where they leave gaps or overlap.
+
+    Tasks join what follows one another and the driver takes some PIECE bytes at a time, so neither the number of segments nor the
+    size of a partition counts."""
     found = segments.agg(F.coalesce(F.max(F.col("offset_bytes") + F.octet_length("bytes")), F.lit(0)).alias("size"), F.coalesce(F.sum(F.octet_length("bytes")), F.lit(0)).alias("held")).first()
     if found.size > most or found.size != found.held:
         raise ValueError("segments do not make up one value")
     out = bytearray(found.size)
-    for r in segments.toLocalIterator():
+    for r in segments.select("offset_bytes", "bytes").mapInArrow(_runs, SEGMENTS).repartition(-(-found.size // PIECE) or 1).toLocalIterator():
         out[r.offset_bytes : r.offset_bytes + len(r.bytes)] = r.bytes
     return bytes(out)
 
