@@ -50,7 +50,7 @@ def test_whole_objects_are_checked(spark):
             load(spark, bad + data[8:])
 
 
-@pytest.mark.parametrize("form", ["NF4"])
+@pytest.mark.parametrize("form", ["NF4", "NF4_DQ"])
 def test_driver_takes_few_segments(spark, tall, monkeypatch, form):
     """Of some 131,000 segments of a packed matrix the driver fetches joined ones only."""
     wide, config = registry._config(spark, str(tall), only_format=form)
